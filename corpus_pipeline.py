@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, packing, queries, simhash
+from lorekeep.llm import decontaminate, line_dedup, packing, quality_rules, queries, simhash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy of the rule ledger accepts."""
+    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+
+
+def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with one line left of each group of similar lines of all documents."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +33,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary())
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", line_level),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
-#: SimHash components, BPE and Karmarkar-Karp packing are beyond SQL; the stages are tested against brute force.
+#: MinHash bands, SimHash components, BPE and Karmarkar-Karp packing are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -137,15 +137,18 @@ def test_simhash(spark, sf, docs, odd, monkeypatch):
 
 def brute_hits(text, items, size=13):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    words, hit, found = word.findall(low(text)), set(), set()
+    words, hit, found, places = word.findall(low(text)), set(), set(), {}
     for item, item_text in items:
         own = word.findall(low(item_text))
         n = min(size, len(own))
-        for w in {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else ():
+        if n and n not in places:
+            places[n] = defaultdict(list)
             for i in range(len(words) - n + 1):
-                if tuple(words[i : i + n]) == w:
-                    hit |= set(range(i, i + n))
-                    found |= {str(item)} if item is not None else set()
+                places[n][tuple(words[i : i + n])].append(i)
+        for i in range(len(own) - n + 1 if n else 0):
+            for at in places[n].get(tuple(own[i : i + n]), ()):
+                hit |= set(range(at, at + n))
+                found |= {str(item)} if item is not None else set()
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
