@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extraction, filters, graph, mutations, search, security, stats
+from ..operators import documents, extraction, filters, graph, layout, mutations, search, security, stats
 from ..operators.filters import ListFilter
 from ..session import ship
 from ..sources.views import NOW_MS, SEMANTIC, Store, with_views
@@ -495,3 +495,47 @@ def dedupe_semantic(s: Store) -> DataFrame:
 @query()
 def communities(s: Store) -> DataFrame:
     return graph.label_propagation(s.edges())
+
+
+@query()
+def chunk_documents(s: Store) -> DataFrame:
+    return documents.chunk_documents(s.documents())
+
+
+@query()
+def hash_embed(s: Store) -> DataFrame:
+    return documents.hash_embed(s.documents(), "title", 64).select("id", F.md5(F.array_join(F.transform("embedding", lambda x: F.format_number(x, 5)), ",").cast("binary")).alias("embedding_md5"))
+
+
+@query()
+def louvain_communities(s: Store) -> DataFrame:
+    return layout.louvain(s.edges())
+
+
+@query()
+def cluster_labels(s: Store) -> DataFrame:
+    return layout.label_clusters(layout.louvain(s.edges()), s.memories())
+
+
+@query()
+def snapshot_nodes(s: Store) -> DataFrame:
+    return layout.select_nodes(s.edges(), s.memories().filter("status = 'active'").select("id", "importance"), 200)
+
+
+@query()
+def hull_by_cluster(s: Store) -> DataFrame:
+    points = s.vectors().select(F.col("label").cast("long").alias("cluster"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return layout.hull(points)
+
+
+@query(f"{with_views('mem')} SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def activity_windows(s: Store) -> DataFrame:
+    from ..streaming.jobs import activity_windows as windows
+
+    return windows(s.table("events")).select("event_type", F.to_date("start").alias("day"), "n")
+
+
+@query()
+def layout_reeled_in(s: Store) -> DataFrame:
+    points = s.vectors().select(F.col("label").cast("long").alias("cluster"), F.col("id").alias("node"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return rounded(layout.reel_in(points, 1.5, 1.2), "x", "y")
