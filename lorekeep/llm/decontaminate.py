@@ -102,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, least:
     if remove not in (None, "documents", "spans"):
         raise ValueError(f"remove must be documents, spans or None, not {remove!r}")
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    docs = without(docs, *added, "hit_words", "hit_items", "scan_row")
+    docs = without(docs, *added, "__lk_words", "__lk_items")
     names, at = docs.columns, docs.columns.index("text")
     spark = docs.sparkSession
 
@@ -120,20 +120,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, least:
                     hits.append(np.flatnonzero(hit))
                     items.append(sorted(x for x in found if x is not None))
                 extra = [pa.array(total, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "n_words", "hit_words", "hit_items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "n_words", "__lk_words", "__lk_items"])
 
-        return rows.mapInArrow(work, widened(rows.schema, "n_words long, hit_words array<long>, hit_items array<string>"))
+        return rows.mapInArrow(work, widened(rows.schema, "n_words long, __lk_words array<long>, __lk_items array<string>"))
 
     found = None
     for block in blocks(benchmark, block_words):
         if found is None:
             found = scanned(docs, block)
             continue
-        again = scanned(found.drop("n_words").withColumnsRenamed({"hit_words": "w0", "hit_items": "i0"}), block)
-        found = again.withColumn("hit_words", F.array_union("w0", "hit_words")).withColumn("hit_items", F.array_union("i0", "hit_items")).drop("w0", "i0")
-    found = found.withColumns({"n_hit": F.size("hit_words").cast("long"), "n_items": F.size("hit_items").cast("long")})
+        again = scanned(found.drop("n_words").withColumnsRenamed({"__lk_words": "__lk_w0", "__lk_items": "__lk_i0"}), block)
+        found = again.withColumn("__lk_words", F.array_union("__lk_w0", "__lk_words")).withColumn("__lk_items", F.array_union("__lk_i0", "__lk_items")).drop("__lk_w0", "__lk_i0")
+    found = found.withColumns({"n_hit": F.size("__lk_words").cast("long"), "n_items": F.size("__lk_items").cast("long")})
     found = found.withColumns({
-        "items_sha256": F.sha2(F.array_join(F.array_sort("hit_items"), ",").cast("binary"), 256),
+        "items_sha256": F.sha2(F.array_join(F.array_sort("__lk_items"), ",").cast("binary"), 256),
         "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * least >= F.col("n_words")),
     })
     if remove == "documents":
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, least:
 
 def cut_spans(found: DataFrame, at: int) -> DataFrame:
     """text without its hit words (the characters between two hit words of a run go too)."""
-    column = found.columns.index("hit_words")
+    column = found.columns.index("__lk_words")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,37 +61,37 @@ def removed(text: str, chars: str) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and MEASURES, all computed within the row."""
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES))
-    rows = docs.withColumn("q_text", trimmed)
+    rows = docs.withColumn("__lk_text", trimmed)
     rows = rows.withColumns({
-        "q_words": F.when(F.col("q_text") == "", F.array().cast("array<string>")).otherwise(F.split("q_text", SPACE_RUN)),
-        "q_lines": F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""),
+        "__lk_words": F.when(F.col("__lk_text") == "", F.array().cast("array<string>")).otherwise(F.split("__lk_text", SPACE_RUN)),
+        "__lk_lines": F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""),
     })
-    rows = rows.withColumn("q_windows", F.expr(
-        "CASE WHEN size(q_words) < 3 THEN cast(array() AS array<bigint>)"
-        " ELSE transform(sequence(0, size(q_words) - 3), i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])) END"
+    rows = rows.withColumn("__lk_windows", F.expr(
+        "CASE WHEN size(__lk_words) < 3 THEN cast(array() AS array<bigint>)"
+        " ELSE transform(sequence(0, size(__lk_words) - 3), i -> xxhash64(__lk_words[i], __lk_words[i + 1], __lk_words[i + 2])) END"
     ))
-    rows = rows.withColumn("q_sorted", F.sort_array("q_windows"))
-    rows = rows.withColumn("q_twice", F.expr(
-        "CASE WHEN size(array_distinct(q_windows)) = size(q_windows) THEN cast(array() AS array<bigint>)"
-        " ELSE array_distinct(filter(q_sorted, (h, i) -> i > 0 AND h = get(q_sorted, i - 1))) END"
+    rows = rows.withColumn("__lk_sorted", F.sort_array("__lk_windows"))
+    rows = rows.withColumn("__lk_twice", F.expr(
+        "CASE WHEN size(array_distinct(__lk_windows)) = size(__lk_windows) THEN cast(array() AS array<bigint>)"
+        " ELSE array_distinct(filter(__lk_sorted, (h, i) -> i > 0 AND h = get(__lk_sorted, i - 1))) END"
     ))
-    rows = rows.withColumn("q_placed", F.expr(
-        f"CASE WHEN size(q_twice) > {FEW} THEN sort_array(transform(q_windows, (h, i) -> struct(h, i))) END"
+    rows = rows.withColumn("__lk_placed", F.expr(
+        f"CASE WHEN size(__lk_twice) > {FEW} THEN sort_array(transform(__lk_windows, (h, i) -> struct(h, i))) END"
     ))
-    rows = rows.withColumn("q_at", F.expr(
-        "CASE WHEN size(q_twice) = 0 THEN cast(array() AS array<int>)"
-        f" WHEN size(q_twice) <= {FEW} THEN filter(sequence(0, size(q_windows) - 1), i -> array_contains(q_twice, q_windows[i]))"
-        " ELSE transform(filter(q_placed, (x, i) -> x.h <=> get(q_placed, i - 1).h OR x.h <=> get(q_placed, i + 1).h), x -> x.i) END"
+    rows = rows.withColumn("__lk_at", F.expr(
+        "CASE WHEN size(__lk_twice) = 0 THEN cast(array() AS array<int>)"
+        f" WHEN size(__lk_twice) <= {FEW} THEN filter(sequence(0, size(__lk_windows) - 1), i -> array_contains(__lk_twice, __lk_windows[i]))"
+        " ELSE transform(filter(__lk_placed, (x, i) -> x.h <=> get(__lk_placed, i - 1).h OR x.h <=> get(__lk_placed, i + 1).h), x -> x.i) END"
     ))
     return rows.select(
         *[F.col(c) for c in docs.columns],
-        F.size("q_words").cast("long").alias("n_words"),
-        F.length(F.translate("q_text", SPACES, "")).cast("long").alias("word_chars"),
-        removed("q_text", SYMBOLS).alias("n_symbols"),
-        removed("q_text", DIGITS).alias("n_digits"),
-        F.size("q_lines").cast("long").alias("n_lines"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("cast(size(array_distinct(concat(q_at, transform(q_at, i -> i + 1), transform(q_at, i -> i + 2)))) AS bigint)").alias("n_repeat_words"),
+        F.size("__lk_words").cast("long").alias("n_words"),
+        F.length(F.translate("__lk_text", SPACES, "")).cast("long").alias("word_chars"),
+        removed("__lk_text", SYMBOLS).alias("n_symbols"),
+        removed("__lk_text", DIGITS).alias("n_digits"),
+        F.size("__lk_lines").cast("long").alias("n_lines"),
+        (F.size("__lk_lines") - F.size(F.array_distinct("__lk_lines"))).cast("long").alias("n_dup_lines"),
+        F.expr("cast(size(array_distinct(concat(__lk_at, transform(__lk_at, i -> i + 1), transform(__lk_at, i -> i + 2)))) AS bigint)").alias("n_repeat_words"),
     )
 
 
@@ -103,7 +103,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     all their measures are 0. Input columns with a name of the ledger are replaced, others pass through; repeated
     rows stay repeated, and an empty table gives an empty one. Texts are measured whole.
     """
-    docs = without(docs, *MEASURES, "fail_bits", "q_text", "q_words", "q_lines", "q_windows", "q_sorted", "q_twice", "q_placed", "q_at")
+    docs = without(docs, *MEASURES, "fail_bits", "__lk_text", "__lk_words", "__lk_lines", "__lk_windows", "__lk_sorted", "__lk_twice", "__lk_placed", "__lk_at")
     bits = " | ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit}L ELSE 0L END" for r in rules)
     return measured(docs).withColumn("fail_bits", F.expr(bits))
 

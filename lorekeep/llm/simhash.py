@@ -257,7 +257,6 @@ def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -
     found = judged(docs, radius, width, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one row a group: groups without any doc_id are told apart by fingerprint
     stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("row_key").alias("row_key"))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text")) if "row_key" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("the column name row_key is taken")
-    return keyed.join(stay.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    keyed = docs.withColumn("__lk_row", F.xxhash64("doc_id", "text"))
+    kept = keyed.join(stay.select(F.col("row_key").alias("__lk_row")), "__lk_row", "left_semi")
+    return kept.dropDuplicates(["__lk_row"]).select(*docs.columns)
