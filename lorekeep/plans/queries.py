@@ -443,10 +443,10 @@ def purge_expired(s: Store) -> DataFrame:
     return mutations.purge_expired(s.memories(), "2024-01-10").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{with_views('lnk')} SELECT l.memory AS id, CAST(count(*) AS BIGINT) AS seen, max(entity) AS last_seen FROM lnk l WHERE memory < 500 GROUP BY 1")
+@query(f"{with_views('lnk')} SELECT l.memory AS id, CAST(count(*) AS BIGINT) AS seen, max(entity) AS last_seen FROM lnk l GROUP BY 1")
 def recall_counters(s: Store) -> DataFrame:
     log = s.links().select(F.col("memory").alias("id"), F.col("entity").alias("at"))
-    ids = log.select("id").distinct().filter("id < 500")
+    ids = log.select("id").distinct()
     return mutations.count_events(ids, log).select("id", "seen", "last_seen")
 
 
