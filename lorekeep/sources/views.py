@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..session import stored
 
 NOW_MS = 1_706_745_600_000  # 2024-02-01 00:00:00 UTC
 SEMANTIC = 0.35
@@ -68,7 +68,7 @@ class Store:
         from ..operators.graph import similar_pairs
 
         v = self.vectors()
-        semantic = similar_pairs(v, threshold).select("source", "target", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
+        semantic = stored(similar_pairs(v, threshold), "semantic-edges").select("source", "target", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
         a, b = v.select(F.col("id").alias("source"), "label"), v.select(F.col("id").alias("target"), F.col("label").alias("other"))
         tag = a.join(b, (F.col("target") == F.col("source") + 1) & (F.col("label") == F.col("other"))).select("source", "target", F.lit("tag").alias("kind"), F.lit(0.4).alias("weight"))
         return semantic.unionByName(tag)
@@ -93,6 +93,3 @@ SQL = {
 
 def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names)
-
-
-__all__ = ["NOW_MS", "SEMANTIC", "SQL", "Store", "dot", "with_views"]
