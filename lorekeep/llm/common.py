@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import stored
+
+__all__ = ["LOWER", "SPACES", "SPACE_RUN", "UPPER", "ascii_lower", "stored", "widened", "without"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of characters other than space, tab, newline, VT, FF, CR.
@@ -21,28 +22,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back.
-
-    Later stages read only the columns they need, and a lost executor never costs a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekeep-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(df: DataFrame, *taken: str) -> DataFrame:
     """Drops columns whose names an operator is about to add (compared without case)."""
     low = {t.lower() for t in taken}
