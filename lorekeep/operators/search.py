@@ -147,3 +147,23 @@ def related(vectors: DataFrame, edges: DataFrame, vec_id: int, limit: int = 8) -
     linked = both.groupBy("id").agg(F.max_by("kind", F.struct("weight", "kind")).alias("reason"), F.max("weight").alias("score"))
     linked = linked.join(similar.select("id"), "id", "left_anti").orderBy(F.desc("score"), "id").limit(12)
     return similar.unionByName(linked.select("id", "score", "reason"))
+
+
+def node_search(rows: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """Text search for graph nodes: three times the limit as a pool, title matches first, the rest in rank order."""
+    pool = memory_text_search(rows, text, 3 * limit).join(rows.select("id", "title"), "id")
+    in_title = reduce(lambda a, b: a | b, [F.contains(F.lower("title"), F.lit(t)) for t in phrases(text)], F.lit(False))
+    return pool.withColumn("in_title", in_title).orderBy(F.desc("in_title"), "rank", "id").limit(limit).select("id", "title", "in_title", "rank")
+
+
+def label_search(rows: DataFrame, text: str, chosen: tuple[str, ...] = (), limit: int = 50) -> DataFrame:
+    """Distinct labels that contain a text, case folded, without those already chosen."""
+    hits = rows.select("label").distinct().filter(F.contains(F.lower("label"), F.lit(text.lower())))
+    return (hits.filter(~F.col("label").isin(*chosen)) if chosen else hits).orderBy("label").limit(limit)
+
+
+def detail(edges: DataFrame, memories: DataFrame, node: int, limit: int = 12) -> DataFrame:
+    """The heaviest neighbours of a memory with kind, weight and title."""
+    ends = edges.filter(F.col("source") == node).select(F.col("target").alias("id"), "kind", "weight").unionByName(edges.filter(F.col("target") == node).select(F.col("source").alias("id"), "kind", "weight"))
+    top = ends.orderBy(F.desc("weight"), "id", "kind").limit(limit)
+    return top.join(memories.select("id", "title"), "id")

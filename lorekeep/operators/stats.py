@@ -93,3 +93,34 @@ def coverage(groups: DataFrame, share: float = 0.55, most: int = 12, least: int
     top = groups.filter(F.col("n") >= least).orderBy(F.desc("n"), "label").limit(most)
     ranked = top.withColumns({"place": F.row_number().over(by_size), "before": F.coalesce(F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
     return ranked.join(F.broadcast(total)).filter(F.col("before") < share * F.col("total")).select("label", "n", "place")
+
+
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of every table; each is one count without reading a column."""
+    found = None
+    for name, table in tables.items():
+        row = table.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def overview(memories: DataFrame, mentions: DataFrame, projects: int = 12, tags: int = 30, entities: int = 20) -> DataFrame:
+    """section, name, n: kinds, top projects, tags and entities (of two mentions or more) in one table."""
+    parts = {
+        "kind": grouped(memories, "kind").select(F.col("kind").alias("name"), "n"),
+        "project": grouped(memories, "project", projects).select(F.col("project").alias("name"), "n"),
+        "tag": tag_usage(memories).orderBy(F.desc("n"), "tag").limit(tags).select(F.col("tag").alias("name"), "n"),
+        "entity": mentions.filter("mentions >= 2").orderBy(F.desc("mentions"), "entity").limit(entities).select(F.col("entity").cast("string").alias("name"), F.col("mentions").alias("n")),
+    }
+    found = None
+    for section, rows in parts.items():
+        rows = rows.select(F.lit(section).alias("section"), "name", "n")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def source_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """source with its documents and chunks (doc), zero where there is none."""
+    per_doc = chunks.groupBy("doc").agg(F.count(F.lit(1)).alias("chunks"))
+    both = documents.select("source", "id").join(per_doc, documents["id"] == per_doc["doc"], "left")
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("chunks", F.lit(0))).alias("chunks"))

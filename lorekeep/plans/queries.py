@@ -539,3 +539,43 @@ def activity_windows(s: Store) -> DataFrame:
 def layout_reeled_in(s: Store) -> DataFrame:
     points = s.vectors().select(F.col("label").cast("long").alias("cluster"), F.col("id").alias("node"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return rounded(layout.reel_in(points, 1.5, 1.2), "x", "y")
+
+
+@query(f"""{with_views('doc')}, {bm25_sql(TEXT.split())}, p AS (SELECT id, title, rank FROM bm ORDER BY rank, id LIMIT 60)
+SELECT id, title, contains(lower(title), 'thonre') OR contains(lower(title), 'tionan') AS in_title, round(rank, 6) AS rank FROM p ORDER BY in_title DESC, p.rank, id LIMIT 20""")
+def node_search(s: Store) -> DataFrame:
+    return rounded(search.node_search(s.documents(), TEXT), "rank")
+
+
+@query("SELECT DISTINCT p_name AS label FROM part WHERE contains(lower(p_name), 'a') AND p_name <> 'x' ORDER BY label LIMIT 50")
+def label_search(s: Store) -> DataFrame:
+    return search.label_search(s.table("part").select(F.col("p_name").alias("label")), "A", ("x",))
+
+
+@query(f"""{with_views('mem', 'vec', 'edge')}, e AS (SELECT target AS id, kind, weight FROM edge WHERE source = 0 UNION ALL SELECT source, kind, weight FROM edge WHERE target = 0), t AS (SELECT * FROM e ORDER BY weight DESC, id, kind LIMIT 12)
+SELECT id, t.kind AS kind, round(weight, 6) AS weight, title FROM t JOIN mem USING (id)""")
+def memory_detail(s: Store) -> DataFrame:
+    return rounded(search.detail(s.edges(), s.memories(), 0), "weight")
+
+
+@query("SELECT 'memories' AS name, count(*) AS n FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'turns', count(*) FROM conversations")
+def health_counts(s: Store) -> DataFrame:
+    return stats.health({"memories": s.memories(), "documents": s.documents(), "vectors": s.vectors(), "turns": s.turns()})
+
+
+@query(f"""{with_views('mem', 'lnk')}, t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM mem WHERE status = 'active') GROUP BY tag ORDER BY n DESC, tag LIMIT 30), e AS (SELECT * FROM men WHERE mentions >= 2 ORDER BY mentions DESC, entity LIMIT 20),
+p AS (SELECT project, count(*) AS n FROM mem GROUP BY 1 ORDER BY n DESC, project LIMIT 12) SELECT 'kind' AS section, kind AS name, count(*) AS n FROM mem GROUP BY kind UNION ALL SELECT 'project', project, n FROM p UNION ALL SELECT 'tag', tag, n FROM t UNION ALL SELECT 'entity', CAST(entity AS VARCHAR), mentions FROM e""")
+def overview(s: Store) -> DataFrame:
+    return stats.overview(s.memories(), s.mentions())
+
+
+@query("SELECT source, count(*) AS documents, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS chunks FROM documents GROUP BY source")
+def source_counts(s: Store) -> DataFrame:
+    lines = s.table("documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")))
+    return stats.source_counts(s.documents(), lines)
+
+
+@query(f"{with_views('mem', 'lnk')} SELECT l.memory AS id, string_agg(CAST(entity AS VARCHAR), ',' ORDER BY entity) AS entities, m.kind FROM lnk l JOIN mem m ON m.id = l.memory GROUP BY 1, 3")
+def memory_entities(s: Store) -> DataFrame:
+    named = s.links().groupBy(F.col("memory").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("entity")), lambda x: x.cast("string")), ",").alias("entities"))
+    return named.join(s.memories().select("id", "kind"), "id")
