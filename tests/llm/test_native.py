@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lorekeep.llm import license_scan, line_dedup, quality_rules, queries, url_filters
 
@@ -82,7 +84,7 @@ def test_url_filters(spark):
 def brute_lines(texts):
     """Kept lines of each text."""
     def shingles(x):
-        return {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+        return {x[m.start() : m.start() + 9] for m in re.finditer(r"[^ \t]+", x)}
 
     first, n = {}, Counter()
     for doc_id, text in texts:
@@ -131,7 +133,7 @@ def test_line_dedup(spark, sf):
 
 
 def test_line_dedup_cases(spark, odd):
-    near = "the quick brown fox jumps over the lazy dog again and again until the evening comes"
+    near = " ".join(f"quick{i} brown fox{i}" for i in range(12)) + " dog again"
     texts = [(1, f"x\n\n{near}\nx"), (2, near.replace("dog", "cat")), (3, None), (4, ""), (None, "x\nonly here"), (None, "only here"), (5, "one\ntwo"), (5, "one\ntwo"), (0, "two")]
     got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed_lines"]) for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == Counter([(1, f"x\n\n{near}", 3, 1), (2, "", 1, 1), (3, None, 0, 0), (4, "", 0, 0), (None, "only here", 2, 1), (None, "only here", 1, 0), (5, "one", 2, 1), (5, "one", 2, 1), (0, "two", 1, 0)])
@@ -153,20 +155,46 @@ def test_license_scan(spark, sf):
 
 
 def test_pipeline(spark, sf):
+    from lorekeep.session import stored
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
     read = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
-    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf)
-    want = {i: t for i, t in read(docs).items() if (m := brute_quality(t)) and not (m[0] < 50 or 100 * m[4] > 50 * m[0])}
-    assert kept.columns == columns and set(read(kept)) <= set(want)
-    lines = corpus_pipeline.STAGES[1][1](spark, kept, sf)
-    before = read(lines)
-    assert lines.columns == columns and set(before) == set(read(kept))
-    near = corpus_pipeline.STAGES[2][1](spark, lines, sf)
-    after = read(near)
-    assert near.columns == columns and set(after) == {c for _, _, c in brute_simhash(list(before.items()))}
-    clean = corpus_pipeline.STAGES[3][1](spark, near, sf)
+    held, now = [docs], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stored(stage(spark, now, sf), f"test-{name}")
+        assert now.columns == docs.columns
+        held.append(now)
+    texts, kept, lines, near, clean = map(read, held)
+    measures = {i: brute_quality(t) for i, t in texts.items()}
+    assert set(kept) <= {i for i, m in measures.items() if not (m[0] < 50 or 100 * m[4] > 50 * m[0])}
+    assert set(lines) == set(kept) and max(Counter(x for t in lines.values() for x in t.split("\n") if x.strip()).values()) == 1
+    assert set(near) == {c for _, _, c in brute_simhash(list(lines.items()))}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    texts = read(clean)
-    assert clean.columns == columns and set(texts) == {i for i, t in after.items() if not brute_hits(t, items)[4]}
-    check_packing(corpus_pipeline.run(spark, sf).collect(), list(texts.items()), 0.95)
+    assert set(clean) == {i for i, t in near.items() if not brute_hits(t, items)[4]}
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, now, sf).collect(), list(clean.items()), 0.95)
+
+
+def test_clashing_columns_pass_through(spark):
+    from lorekeep.llm import decontaminate, simhash, token_counts
+
+    names = ["row_key", "places", "new_text", "hit_words", "q_words", "lh", "fp", "n_grams", "piece_row", "label", "host", "bucket"]
+    docs = spark.createDataFrame([(1, "some words here", *range(12)), (2, None, *[None] * 12)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "words here")], "item_id long, text string")
+    want = {(r["doc_id"], *(r[n] for n in names)) for r in docs.collect()}
+    for out in (line_dedup.dedup_lines(docs), quality_rules.judge(docs), simhash.keep_one(docs), token_counts.count_tokens(docs, queries.vocabulary()), decontaminate.contamination(docs, bench, remove="spans")):
+        assert {(r["doc_id"], *(r[n] for n in names)) for r in out.collect()} == want
+
+
+def test_bitmap_bound_loses_no_similar_pair(spark):
+    import random
+
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(60)]
+    lines = [" ".join(words[i % 60] if rng.random() > rng.choice((0.0, 0.05, 0.2)) else f"x{rng.random()}" for i in range(rng.choice((6, 30, 60, 400)))) for _ in range(80)]
+    sets = spark.createDataFrame(list(enumerate(lines)), "lh long, line string").select("lh", line_dedup.shingles("line").alias("shingles"))
+    bits = line_dedup.bitmaps(sets)
+    other = bits.select(*[F.col(c).alias("other" if c == "lh" else f"other_{c}") for c in bits.columns])
+    passed = {tuple(r) for r in bits.crossJoin(other).filter(line_dedup.may_be_similar()).select("lh", "other").collect()}
+    held = {r["lh"]: set(r["shingles"]) for r in sets.collect()}
+    similar = {(a, b) for a in held for b in held if 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))}
+    assert similar <= passed and len(passed) < len(held) ** 2
