@@ -110,8 +110,9 @@ def fit(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> Model:
     from pyspark.ml.feature import CountVectorizer
 
     spark = docs.sparkSession
-    background = paragraphs(docs.select("doc_id", "text")).select("paragraph").distinct()
-    background = background.orderBy(F.xxhash64("paragraph"), "paragraph").limit(background_rows)
+    everything = paragraphs(docs.select("doc_id", "text")).select("paragraph", F.xxhash64("paragraph").alias("h"))
+    least = everything.select("h").distinct().orderBy("h").limit(background_rows)  # of 8 bytes a paragraph, not of texts
+    background = everything.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("paragraph").alias("paragraph")).select("paragraph")
     background = background.withColumn("words", F.array_distinct(words("paragraph")))
     for _, text in TEMPLATES:
         own = sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()})

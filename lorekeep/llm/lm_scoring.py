@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import stored
 from .words import Hashes, mix, pairs
 
 #: What stands after the last word and before the first; no word holds a space.
@@ -19,12 +23,12 @@ GROWTH = 1.5
 LEVELS = 64
 BITS_A_KEY = 12
 #: Training tokens that are counted before they are sent, and those meant for one shard of the model.
-FLUSH, SHARD_TOKENS = 3_000_000, 1_000_000
+FLUSH, SHARD_TOKENS = 1_500_000, 1_000_000
 MOST_SHARDS = 1 << 16
-#: Bytes of the model that are broadcast at once; a larger model is probed block by block.
+#: Bytes of the model that the workers are given at once; a larger model is probed block by block.
 BROADCAST_BYTES = 256 << 20
 #: Rows scored together.
-SLICE = 1000
+SLICE = 250
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -114,26 +118,52 @@ def built(part: pa.Table) -> pa.Table:
 
 
 class Block:
-    """Consecutive shards of the model, as flat arrays."""
+    """Consecutive shards of the model, as flat arrays; rows come one by one, so no second copy of the model is held.
 
-    def __init__(self, rows: list, shards: int):
-        rows = sorted(rows, key=lambda r: r["shard"])
+    sent() hands the arrays to Spark as files for every executor; what is pickled into tasks are their names, and all
+    Python workers of an executor map the same files.
+    """
+
+    ARRAYS = ("words", "counts", "bloom")
+
+    def sent(self, spark: SparkSession) -> Block:
+        folder, self.names = tempfile.mkdtemp(prefix="lorekeep-lm-"), {}
+        for field in self.ARRAYS:
+            self.names[field] = f"lorekeep-lm-{uuid.uuid4().hex}-{field}.npy"
+            np.save(os.path.join(folder, self.names[field]), getattr(self, field))
+            delattr(self, field)
+            spark.sparkContext.addFile(os.path.join(folder, self.names[field]))
+        return self
+
+    def mapped(self) -> Block:
+        for field, name in self.names.items():
+            setattr(self, field, np.asarray(np.load(SparkFiles.get(name), mmap_mode="r")))
+        return self
+
+    def __init__(self, rows: Iterator, sizes: list, shards: int):
         self.shards = shards
-        self.words = np.concatenate([np.frombuffer(r["words"], "<u8") for r in rows])
-        self.counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows])
-        blooms = [np.frombuffer(r["bloom"], "<u8") for r in rows]
-        self.bloom = np.concatenate(blooms)
+        self.words = np.zeros(sum(r["distinct"] for r in sizes), np.uint64)
+        self.counts = np.zeros(len(self.words), np.uint32 if sum(r["tokens"] for r in sizes) < 1 << 32 else np.int64)
+        self.bloom = np.zeros(sum(r["size"] - 16 * r["distinct"] for r in sizes) // 8, np.uint64)
         self.sizes, self.starts = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
-        at = [r["shard"] for r in rows]
-        self.sizes[at] = [len(b) for b in blooms]
-        self.starts[at] = np.cumsum(self.sizes[at]) - self.sizes[at]
+        first, at, word = {}, 0, 0
+        for r in sizes:  # ascending shards, so the words ascend too
+            first[r["shard"]] = word
+            self.sizes[r["shard"]], self.starts[r["shard"]] = (r["size"] - 16 * r["distinct"]) // 8, at
+            at, word = at + self.sizes[r["shard"]], word + r["distinct"]
+        for r in rows:
+            words, bloom = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["bloom"], "<u8")
+            at, word = self.starts[r["shard"]], first[r["shard"]]
+            self.words[word : word + len(words)] = words
+            self.counts[word : word + len(words)] = np.frombuffer(r["counts"], "<i8")
+            self.bloom[at : at + len(bloom)] = bloom
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
         found, back = np.unique(hashes, return_inverse=True)
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
-        return np.where(self.words[at] == found, self.counts[at], 0)[back]
+        return np.where(self.words[at] == found, self.counts[at], 0).astype(np.int64)[back]
 
     def levels(self, bigrams: np.ndarray) -> np.ndarray:
         """Repeated membership probes: the highest level below which none is missing."""
@@ -202,7 +232,7 @@ def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: in
 
     def worker(shared, first: bool, last: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, block = Hashes(), shared.value
+            hashes, block = Hashes(), shared.mapped()
             for whole in batches:
                 for at in range(0, len(whole), SLICE):
                     yield part(hashes, block, whole.slice(at, SLICE))
@@ -239,12 +269,10 @@ def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: in
         return work
 
     for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        part = model.filter(F.col("shard").between(low, high - 1)).select("shard", "words", "counts", "bloom").collect()
-        empty = [{"shard": low, "words": b"", "counts": b"", "bloom": b""}]
-        shared = spark.sparkContext.broadcast(Block(part or empty, shards))
+        part = model.filter(F.col("shard").between(low, high - 1)).select("shard", "words", "counts", "bloom")
+        shared = Block(part.toLocalIterator(), [r for r in sizes if low <= r["shard"] < high], shards).sent(spark)
         last = i == len(cuts) - 2
         rows = rows.mapInArrow(worker(shared, i == 0, last), result if last else f"doc_id {kind}, held_out boolean, text string, counts binary, levels binary")
         if not last:
             rows = stored(rows, "lm-counts")
-            shared.unpersist()
     return rows

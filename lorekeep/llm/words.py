@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
