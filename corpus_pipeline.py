@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import decontaminate, line_dedup, packing, quality_rules, queries, simhash
-from lorekeep.session import stored
+from lorekeep.session import ship, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
@@ -31,6 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token pieces."""
+    ship(spark)
     return packing.pack(docs, queries.vocabulary())
 
 
