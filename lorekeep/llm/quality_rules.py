@@ -119,6 +119,16 @@ def judge(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     return judged.withColumns({"base_failed": failed, "kept": ~failed & passes(policy)})
 
 
+def accepted(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The rows of docs that the policy keeps, with their columns.
+
+    A filter on `kept` alone would be pushed below the ledger with every measure written out in its condition, and each
+    would be computed again wherever the condition names it. The row number holds the filter above the ledger.
+    """
+    judged = judge(docs, policy).withColumn("__lk_number", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("__lk_number") >= 0)).select(*docs.columns)
+
+
 def ablations(ledgered: DataFrame, policy: Policy = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a rule of the policy: rows, failed, only (rows that this rule alone rejects), kept, kept_without.
 

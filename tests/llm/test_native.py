@@ -55,6 +55,9 @@ def test_quality_rules(spark, odd):
     assert got == want
     judged = quality_rules.judge(odd)
     assert judged.columns.count("n_words") == 1 and judged.count() == len(ODD) and quality_rules.judge(odd.limit(0)).count() == 0
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    assert sorted(map(key, quality_rules.accepted(odd).collect())) == sorted(key(r) for r in judged.collect() if r["kept"])
+    assert quality_rules.accepted(odd).columns == odd.columns and quality_rules.accepted(odd.limit(0)).count() == 0
     table = quality_rules.ablations(judged).collect()
     assert len(table) == 8
     bits = [r["fail_bits"] for r in judged.collect()]
