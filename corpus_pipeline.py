@@ -10,7 +10,7 @@ from lorekeep.session import ship, stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy of the rule ledger accepts."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.accepted(docs)
 
 
 def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
