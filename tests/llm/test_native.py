@@ -143,6 +143,42 @@ def test_line_dedup_cases(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def brute_groups(lines):
+    """Components of distinct lines of similar shingles at every position, each as a set."""
+    sets = {x: {y[i : i + 5] for y in [x] for i in range(len(y) - 4)} or {x} for x in lines}
+    groups = []
+    for x in lines:
+        near = [g for g in groups if any(9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])) for y in g)]
+        groups = [g for g in groups if g not in near] + [{x}.union(*near)]
+    return groups
+
+
+def test_line_dedup_every_position(spark):
+    import random
+
+    rng = random.Random(5)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    thai = "กขคงจฉชซญฐณดตถทนบปผพฟมยรลวศสหอ"
+    words = [draw("abcdefghijklmnopqrstuvwxyz", 5) for _ in range(16)]
+    alone = [head + draw(letters, n) for head, letters, n in [("https://example.com/", "abcdef0123456789", 40), ("id,name,city,", "abcdefgh,", 50), ("ประเทศไทย", thai, 60), ('{"key":"value","', "xyz:,", 90)] for _ in range(4)]
+    alone += ["ab ab " + draw("klmnop", 25), "ab ab " + draw("klmnop", 25)]
+    near = [" ".join(words), " ".join([*words[:7], "other", *words[8:]]), "chapter seventeen", "chapter seventeem", "abcdefgh", "abcdefghi", "-" * 10, "-" * 40, "-" * 200]
+    near += [f"{x}{end}" for x in (draw(thai, 70), draw("abcdef0123456789", 120), ",".join(draw("abcde", 4) for _ in range(12))) for end in ("", "zq")]
+    lines = alone + near
+    groups = brute_groups(lines)
+    assert len(groups) < len(lines) and all({x} in groups for x in alone) and not any({x} in groups for x in near)
+    rows = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["text"] for r in rows if r["text"]} == {min(g, key=lines.index) for g in groups}
+
+
+def test_line_dedup_documents_every_position(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120).select("doc_id", "text")
+    lines = list(dict.fromkeys(x for r in docs.collect() for x in (r["text"] or "").split("\n") if x.strip()))
+    left = Counter(x for r in line_dedup.dedup_lines(docs).collect() for x in (r["text"] or "").split("\n") if x.strip())
+    groups = brute_groups(lines)
+    assert max(left.values()) == 1 and sum(sum(x in left for x in g) != 1 for g in groups) <= 0.01 * len(groups)
+
+
 def test_license_scan(spark, sf):
     notice = {"apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "proprietary": "All rights reserved."}
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
