@@ -15,49 +15,74 @@ NEIGHBOURHOOD = 40
 
 
 def select_nodes(edges: DataFrame, nodes: DataFrame, most: int = MAX_NODES, focus: int | None = None) -> DataFrame:
-    """node: a connected selection of at most `most` nodes (id, importance): hubs by degree, each with at most 40 neighbours by breadth first, then the most important.
+    """node: a connected selection of at most `most` nodes (id, importance).
 
-    The hubs' surroundings are cut to the `most` strongest nodes by degree and importance before the sequential part,
-    so its one group has a fixed bound.
-    """
-    from .graph import degree
-
-    pool = nodes.join(degree(edges), nodes["id"] == F.col("node"), "left").select("id", "importance", F.coalesce("degree", F.lit(0)).alias("degree"))
-    wanted = F.when(F.col("id") == focus, 1).otherwise(0) if focus is not None else F.lit(0)
-    pool = pool.withColumn("wanted", wanted).orderBy(F.desc("wanted"), F.desc("degree"), F.desc("importance"), "id").limit(4 * most).drop("wanted")
-    e = edges.join(pool.select(F.col("id").alias("source")), "source", "left_semi").join(pool.select(F.col("id").alias("target")), "target", "left_semi")
-    best = F.row_number().over(W.partitionBy("source").orderBy(F.desc("weight"), "target"))
-    e = e.withColumn("nth", best).filter(F.col("nth") <= NEIGHBOURHOOD)
-    rows = pool.select("id", F.lit(None).cast("long").alias("other"), "importance", "degree").unionByName(e.select(F.col("source").alias("id"), F.col("target").alias("other"), F.lit(0.0).alias("importance"), F.lit(0).cast("long").alias("degree")))
+    The `most` most important nodes are the seeds; those with edges grow one after the other, by degree, each with its
+    surroundings by breadth first (the strongest edges first) to NEIGHBOURHOOD nodes not chosen before, the focus before all;
+    seeds fill what is left. Edges lead anywhere; nodes reached that `nodes` lacks are left out at the end.
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        heads = part[part["other"].isna()].sort_values(["degree", "importance", "id"], ascending=[False, False, True])
-        around = defaultdict(list)
-        for a, b in part[part["other"].notna()][["id", "other"]].astype("int64").sort_values(["id", "other"]).itertuples(index=False):
-            around[a].append(b)
-            around[b].append(a)
+    Only the growing is sequential, over at most `most` chosen nodes in the driver. It asks for the edges of those it
+    comes by: what is not at hand yet is looked up over all edges, for all of a pass at once, and the pass is repeated
+    until nothing is missing, so no edge is cut off.
+    """
+    spark = edges.sparkSession
+    seeds = nodes.select("id", "importance").orderBy(F.desc("importance"), "id").limit(most).collect()
+    if len(seeds) < most:
+        return nodes.select(F.col("id").alias("node"))
+    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight").union(edges.select("target", "source", "weight"))
+    roots = spark.createDataFrame([(r["id"],) for r in seeds], "node long")
+    degree = {r["node"]: r["n"] for r in ends.join(F.broadcast(roots), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hubs = sorted((r["id"] for r in seeds if r["id"] in degree), key=lambda n: -degree[n])
+    order = ([focus] if focus is not None else []) + hubs
+    known: dict[int, tuple[list[int], bool]] = {}
+
+    def look_up(wanted: set[int], depth: int) -> None:
+        """The first `depth` neighbours of these nodes, and whether those are all."""
+        asked = spark.createDataFrame([(n,) for n in sorted(wanted)], "node long")
+        around = ends.join(F.broadcast(asked), "node", "left_semi").filter("other <> node").groupBy("node", "other").agg(F.max("weight").alias("weight"))
+        nth = F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "other"))
+        lists = around.withColumn("nth", nth).filter(F.col("nth") <= depth).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nth", "other"))).alias("found")).collect()
+        known.update({n: ([], True) for n in wanted})
+        known.update({r["node"]: ([x["other"] for x in r["found"]], len(r["found"]) < depth) for r in lists})
+
+    def grow() -> tuple[dict[int, None], set[int]]:
+        """The choice as far as the known edges go, and the nodes whose edges it lacks."""
         chosen: dict[int, None] = {}
-        order = [int(x) for x in heads["id"]]
-        for hub in ([focus] if focus in order else []) + order:
-            if len(chosen) >= most or not around[hub]:
+        lacking: set[int] = set()
+        for root in order:
+            if root in chosen or len(chosen) >= most:
                 continue
-            queue, seen, budget = deque([hub]), {hub}, NEIGHBOURHOOD
-            while queue and budget and len(chosen) < most:
+            chosen[root] = None
+            queue, taken = deque([root]), 1
+            while queue and taken < NEIGHBOURHOOD and len(chosen) < most:
                 node = queue.popleft()
-                if node not in chosen:
-                    chosen[node] = None
-                    budget -= 1
-                for other in around[node]:
-                    if other not in seen:
-                        seen.add(other)
+                found, whole = known.get(node, ([], False))
+                for other in found:
+                    if taken >= NEIGHBOURHOOD or len(chosen) >= most:
+                        break
+                    if other not in chosen:
+                        chosen[other] = None
                         queue.append(other)
-        for node in sorted(order, key=lambda n: order.index(n)) if len(chosen) < most else ():
-            if len(chosen) >= most:
-                break
-            chosen[node] = None
-        return pd.DataFrame({"node": list(chosen)})
-
-    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(work, "node long")
+                        taken += 1
+                else:
+                    if not whole and taken < NEIGHBOURHOOD and len(chosen) < most:
+                        lacking.add(node)
+        return chosen, lacking
+
+    chosen, lacking = grow()
+    while lacking:
+        new = {n for n in lacking if n not in known}
+        if new:
+            look_up(new, 2 * NEIGHBOURHOOD)
+        for depth in {8 * len(known[n][0]) for n in lacking - new}:
+            look_up({n for n in lacking - new if 8 * len(known[n][0]) == depth}, depth)
+        chosen, lacking = grow()
+    for r in seeds:
+        if len(chosen) >= most:
+            break
+        chosen[r["id"]] = None
+    found = spark.createDataFrame([(n,) for n in chosen], "node long")
+    return found.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
