@@ -81,11 +81,7 @@ class Engine:
     def snapshot(self, most: int = layout.MAX_NODES, focus: int | None = None) -> dict[str, DataFrame]:
         """nodes with their communities, edges between them (the strongest of a pair) and labelled clusters."""
         t = self.tables
-        chosen = layout.select_nodes(t["edges"], t["memories"].filter("status = 'active'").select("id", "importance"), most, focus)
-        shown = chosen.select(F.col("node").alias("source")), chosen.select(F.col("node").alias("target"))
-        edges = graph.strongest(t["edges"].join(shown[0], "source", "left_semi").join(shown[1], "target", "left_semi")).select(F.col("a").alias("source"), F.col("b").alias("target"), "kind", "weight")
-        members = layout.louvain(edges)
-        nodes = chosen.join(members, "node", "left").withColumn("community", F.coalesce("community", "node"))
+        nodes, edges = layout.snapshot(t["edges"], t["memories"].filter("status = 'active'").select("id", "importance"), most, focus)
         return {"nodes": nodes, "edges": edges, "clusters": layout.label_clusters(nodes, t["memories"])}
 
     def scrubbed(self, rows: DataFrame) -> DataFrame:

@@ -85,8 +85,19 @@ def select_nodes(edges: DataFrame, nodes: DataFrame, most: int = MAX_NODES, focu
     return found.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
 
 
+def snapshot(edges: DataFrame, nodes: DataFrame, most: int = MAX_NODES, focus: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The selected nodes with their communities (node, community; alone where nothing links it), and the edges between them (the strongest of a pair)."""
+    from .graph import strongest
+
+    chosen = select_nodes(edges, nodes, most, focus)
+    shown = chosen.select(F.col("node").alias("source")), chosen.select(F.col("node").alias("target"))
+    among = strongest(edges.join(shown[0], "source", "left_semi").join(shown[1], "target", "left_semi")).select(F.col("a").alias("source"), F.col("b").alias("target"), "kind", "weight")
+    members = chosen.join(louvain(among), "node", "left").withColumn("community", F.coalesce("community", "node"))
+    return members, among
+
+
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node, community (its smallest node) by the Louvain method, for a snapshot's edges (at most MAX_NODES * 12 rows).
+    """node, community (its smallest node) by the Louvain method, for a snapshot's edges (between at most MAX_NODES nodes).
 
     Larger graphs go through graph.label_propagation, which stays distributed.
     """

@@ -507,14 +507,19 @@ def hash_embed(s: Store) -> DataFrame:
     return documents.hash_embed(s.documents(), "title", 64).select("id", F.md5(F.array_join(F.transform("embedding", lambda x: F.format_number(x, 5)), ",").cast("binary")).alias("embedding_md5"))
 
 
+def snapshot_members(s: Store) -> DataFrame:
+    """The communities of a snapshot: the Louvain method is sequential, so it gets a selection of MAX_NODES nodes at most."""
+    return layout.snapshot(s.edges(), s.memories().filter("status = 'active'").select("id", "importance"))[0]
+
+
 @query()
 def louvain_communities(s: Store) -> DataFrame:
-    return layout.louvain(s.edges())
+    return snapshot_members(s)
 
 
 @query()
 def cluster_labels(s: Store) -> DataFrame:
-    return layout.label_clusters(layout.louvain(s.edges()), s.memories())
+    return layout.label_clusters(snapshot_members(s), s.memories())
 
 
 @query()
