@@ -455,6 +455,12 @@ def secrets_detect(s: Store) -> DataFrame:
     return security.detect(s.documents()).filter("rule = 12").select("id", "kind", "value")
 
 
+@query()
+def secrets_detect_all(s: Store) -> DataFrame:
+    """All rules; secrets_detect is the one whose SQL is simple."""
+    return security.detect(s.documents()).select("id", "rule", "kind", "value")
+
+
 @query()
 def secrets_redact(s: Store) -> DataFrame:
     docs = s.documents().filter(security.has_secrets(F.col("content")))
