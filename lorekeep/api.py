@@ -67,16 +67,7 @@ class Engine:
     def rebuild_graph(self, threshold: float = 0.62, neighbours: int = 6) -> DataFrame:
         """Candidate edges of all sources under the budget of a node."""
         t = self.tables
-        kinds = {
-            "semantic": graph.knn(t["vectors"], neighbours, threshold).select("source", "target", F.col("score").alias("weight")),
-            "entity": graph.entity_edges(t["links"], t["mentions"]).select("source", "target", "weight"),
-            "tag": graph.tag_edges(t["memories"]), "session": graph.session_edges(t["memories"]), "project": graph.project_edges(t["memories"]),
-        }
-        found = None
-        for kind, df in kinds.items():
-            rows = df.select("source", "target", F.lit(kind).alias("kind"), "weight")
-            found = rows if found is None else found.unionByName(rows)
-        return graph.budgeted(found)
+        return graph.budgeted(graph.candidates(t["memories"], t["vectors"], t["links"], t["mentions"], threshold, neighbours))
 
     def snapshot(self, most: int = layout.MAX_NODES, focus: int | None = None) -> dict[str, DataFrame]:
         """nodes with their communities, edges between them (the strongest of a pair) and labelled clusters."""

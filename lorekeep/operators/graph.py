@@ -104,6 +104,19 @@ def project_edges(rows: DataFrame, nearest: int = 3) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= nearest).select("source", "target", weight.alias("weight"))
 
 
+def candidates(memories: DataFrame, vectors: DataFrame, links: DataFrame, mentions: DataFrame, threshold: float, neighbours: int = 6) -> DataFrame:
+    """source, target, kind, weight from all five sources."""
+    kinds = {
+        "semantic": knn(vectors, neighbours, threshold).withColumnRenamed("score", "weight"), "entity": entity_edges(links, mentions),
+        "tag": tag_edges(memories), "session": session_edges(memories), "project": project_edges(memories),
+    }
+    found = None
+    for kind, df in kinds.items():
+        rows = df.select("source", "target", F.lit(kind).alias("kind"), "weight")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 PRIORITY = {"semantic": 100.0, "entity": 80.0, "tag": 40.0, "session": 30.0, "project": 20.0}
 
 

@@ -337,6 +337,12 @@ def edges_budgeted(s: Store) -> DataFrame:
     return rounded(graph.budgeted(semantic.unionByName(session)), "weight")
 
 
+@query()
+def edges_budgeted_all(s: Store) -> DataFrame:
+    """All five sources under the budget; edges_budgeted is the one whose SQL is quick."""
+    return rounded(graph.budgeted(graph.candidates(s.memories(), s.vectors(), s.links(), s.mentions(), SEMANTIC)), "weight")
+
+
 EDGE = with_views("vec", "edge")
 
 
@@ -510,7 +516,7 @@ def chunk_documents(s: Store) -> DataFrame:
 
 @query()
 def hash_embed(s: Store) -> DataFrame:
-    return documents.hash_embed(s.documents(), "title", 64).select("id", F.md5(F.array_join(F.transform("embedding", lambda x: F.format_number(x, 5)), ",").cast("binary")).alias("embedding_md5"))
+    return documents.hash_embed(s.documents()).select("id", F.md5(F.array_join(F.transform("embedding", lambda x: F.format_number(x, 5)), ",").cast("binary")).alias("embedding_md5"))
 
 
 def snapshot_members(s: Store) -> DataFrame:
