@@ -49,7 +49,8 @@ class Policy:
     mask: int
 
 
-POLICIES = (Policy("base", 1, BASE), Policy("web", 1, 0b0111_1111), Policy("web", 2, 0b1111_1111))
+POLICIES = (Policy("base", 1, BASE), Policy("web", 1, 0b0111_1111), Policy("web", 2, 0b1111_1111), Policy("web", 3, 0b1111_1011))
+#: Since version 3 size alone rejects nothing: many_words is measured only.
 CURRENT = POLICIES[-1]
 
 
@@ -130,19 +131,18 @@ def accepted(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
 
 def ablations(ledgered: DataFrame, policy: Policy = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row a rule of the policy: rows, failed, only (rows that this rule alone rejects), kept, kept_without.
+    """One row a rule: rows, failed, only (rows that this rule alone rejects; none if the policy lacks it), kept, kept_without.
 
     A single aggregation over the bits; no rule is evaluated again.
     """
     inside = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
-    used = [r for r in rules if policy.mask >> r.bit & 1]
     sums = [F.count(F.lit(1)).alias("n"), F.count_if(inside == 0).alias("kept")]
-    for r in used:
-        sums += [F.count_if(inside.bitwiseAND(F.lit(1 << r.bit).cast("long")) != 0).alias(f"f{r.bit}"), F.count_if(inside == (1 << r.bit)).alias(f"o{r.bit}")]
+    for r in rules:
+        sums += [F.count_if(F.col("fail_bits").bitwiseAND(F.lit(1 << r.bit).cast("long")) != 0).alias(f"f{r.bit}"), F.count_if(inside == (1 << r.bit)).alias(f"o{r.bit}")]
     total = ledgered.agg(*sums)
     rows = F.array(*[
         F.struct(F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"), F.lit(r.name).alias("rule"), F.col("n").alias("n_rows"),
                  F.col(f"f{r.bit}").alias("failed"), F.col(f"o{r.bit}").alias("only"), F.col("kept"), (F.col("kept") + F.col(f"o{r.bit}")).alias("kept_without"))
-        for r in used
+        for r in rules
     ])
     return total.select(F.explode(rows).alias("r")).select("r.*")

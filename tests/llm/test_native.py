@@ -66,6 +66,15 @@ def test_quality_rules(spark, odd):
         assert (r["failed"], r["only"], r["kept"]) == (sum(b & bit > 0 for b in bits), sum(b == bit for b in bits), bits.count(0))
 
 
+def test_very_long_clean_document_stays(spark):
+    # measures as the ledger has them; the text of a million words itself is made by Spark
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_001)), lambda i: F.translate(F.lower(F.hex(i * 2654435761 % 4294967296)), "0123456789", "ghijklmnop")), " ")
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    row = quality_rules.judge(docs).drop("text").first()
+    assert row["n_words"] == 1_000_001 and row["fail_bits"] == 4 and row["kept"]
+    assert quality_rules.accepted(docs).count() == 1
+
+
 def brute_rule(url, rules):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].lower(), m[2]) if m else ("", "")
