@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from math import exp
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
@@ -47,6 +48,10 @@ VOCABULARY = 4096
 RECALL = 0.98
 #: Share of a template's words that a paragraph must hold to confirm a family.
 CONFIRM = 0.75
+#: Words of the longest template: a wrapped notice has no more of them in its first line, nor after it.
+LONGEST = max(len(text.split()) + 4 for _, text in TEMPLATES)
+#: Rows with notices in single lines that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: str) -> Column:
@@ -99,6 +104,26 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("paragraph") != "")
 
 
+def wrapped(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """row_key, place, words: for every line that its block goes on after, its last LONGEST words and the next LONGEST.
+
+    A block ends at a line without words (blank, or a comment leader alone) and at a line that is a notice by itself
+    (confirmed: row_key, places). Leaders and other marks are no words, so whatever way a notice is wrapped, one of
+    these windows holds all of it.
+    """
+    few = F.broadcast(confirmed) if confirmed.count() <= BROADCAST_ROWS else confirmed
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").filter(F.instr("text", "\n") > 0).join(few, "row_key", "left")
+    by_line = F.transform(F.split(ascii_lower(F.col("text")), "\n"), lambda line: F.filter(F.split(line, WORD_BREAK), lambda w: w != ""))
+    rows = rows.select("row_key", "places", by_line.alias("lines")).withColumn("lines", F.expr("transform(lines, (l, i) -> CASE WHEN array_contains(places, i) THEN cast(array() AS array<string>) ELSE l END)"))
+    after = (
+        f"aggregate(slice(lines, i + 2, {LONGEST}), struct(cast(array() AS array<string>) AS w, true AS on),"
+        f" (a, x) -> CASE WHEN a.on AND size(x) > 0 AND size(a.w) < {LONGEST} THEN struct(concat(a.w, x) AS w, true AS on) ELSE struct(a.w AS w, false AS on) END).w"
+    )
+    at = "filter(sequence(0, size(lines) - 1), i -> size(lines[i]) > 0 AND size(get(lines, i + 1)) > 0)"
+    found = f"transform({at}, i -> struct(i AS place, concat(slice(lines[i], greatest(1, size(lines[i]) - {LONGEST - 1}), {LONGEST}), slice({after}, 1, {LONGEST})) AS words))"
+    return rows.select("row_key", F.explode(F.expr(found)).alias("r")).select("row_key", "r.place", "r.words")
+
+
 def fit(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> Model:
     """Fits the classifier on the templates' variants and a bounded sample of background paragraphs.
 
@@ -141,24 +166,10 @@ def fit(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> Model:
     return Model(families, weights, model.intercepts, max(0.3, right[int(len(right) * (1 - RECALL))]))
 
 
-def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Every row's licence family, from its paragraphs (lines); needs doc_id and text, reads no other column.
-
-    A paragraph's n-grams meet the model's weights in an equi-join (the weights are at most VOCABULARY rows, so they are
-    broadcast); only paragraphs with a word of the model get that far. The softmax names a family, or the unknown class
-    below the calibrated threshold, and a template of that family must be held to CONFIRM of its words.
-
-    Returns doc_id, n_paragraphs, n_license (confirmed paragraphs), n_unknown (licence-like ones that were not), family
-    (that of the surest confirmed paragraph; ties: the first paragraph; else null), families (all of them, sorted and
-    comma-joined; else empty) and confidence (six decimals; else 0). Null and empty texts have no paragraphs; rows with
-    equal doc_id and text get equal results; an empty table gives an empty one. Texts are scanned whole.
-    """
-    model = model or fit(docs)
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")), F.lit(0)).cast("long").alias("n_paragraphs"))
-    rows = rows.withColumn("n_paragraphs", F.greatest("n_paragraphs", F.lit(0).cast("long")))
+def judged(candidates: DataFrame, model: Model) -> DataFrame:
+    """row_key, place, best (p, family), ok (confirmed), like (licence-like) of word lists (row_key, place, words) with a word of the model."""
+    spark = candidates.sparkSession
     triggers = sorted({rarest(g) for g in model.weights})
-    candidates = paragraphs(docs.select("doc_id", "text")).withColumn("words", words("paragraph"))
     candidates = candidates.filter(F.arrays_overlap("words", F.array(*map(F.lit, triggers)).cast("array<string>")))
     parts = [F.struct(F.lit(g).alias("gram"), F.array(*map(F.lit, w)).alias("w")) for g, w in sorted(model.weights.items())]
     weights = spark.range(1).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
@@ -177,9 +188,35 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         share = F.size(F.array_intersect("own", F.array(*map(F.lit, own))))
         confirmed = confirmed | ((F.col("best.family") == family) & (share >= CONFIRM * len(own)))
     sure = (F.col("best.family") != NONE) & (F.col("best.p") >= model.threshold)
-    judged = scored.select("row_key", "place", "best", (sure & confirmed).alias("ok"), (F.col("best.family") != NONE).alias("like"))
-    found = judged.groupBy("row_key").agg(
-        F.count_if("ok").alias("n_license"),
+    return scored.select("row_key", "place", "best", (sure & confirmed).alias("ok"), (F.col("best.family") != NONE).alias("like"))
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Every row's licence family, from its lines and from notices wrapped over several; needs doc_id and text, reads no other column.
+
+    A line or window of lines (see wrapped) is a paragraph here; its n-grams meet the model's weights in an equi-join (the weights are at most VOCABULARY rows, so they are
+    broadcast); only paragraphs with a word of the model get that far. The softmax names a family, or the unknown class
+    below the calibrated threshold, and a template of that family must be held to CONFIRM of its words.
+
+    Returns doc_id, n_paragraphs (lines), n_license (confirmed lines and wrapped notices), n_unknown (licence-like lines
+    that were not confirmed by themselves), family
+    (that of the surest confirmed paragraph; ties: the first paragraph; else null), families (all of them, sorted and
+    comma-joined; else empty) and confidence (six decimals; else 0). Null and empty texts have no paragraphs; rows with
+    equal doc_id and text get equal results; an empty table gives an empty one. Texts are scanned whole.
+    """
+    model = model or fit(docs)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")), F.lit(0)).cast("long").alias("n_paragraphs"))
+    rows = rows.withColumn("n_paragraphs", F.greatest("n_paragraphs", F.lit(0).cast("long")))
+    texts = docs.select("doc_id", "text")
+    lines = stored(judged(paragraphs(texts).withColumn("words", words("paragraph")), model), "licence-lines")
+    confirmed = lines.filter("ok").groupBy("row_key").agg(F.collect_set("place").alias("places"))
+    # a wrapped notice is held by several windows in a row: the first counts
+    blocks = stored(judged(wrapped(texts, confirmed), model), "licence-blocks").filter("ok")  # stored: a filter below would repeat the softmax
+    before = F.lag("place").over(W.partitionBy("row_key", "best.family").orderBy("place"))
+    blocks = blocks.withColumn("counts", F.coalesce(F.col("place") - before > 1, F.lit(True)))
+    everything = lines.withColumn("counts", F.col("ok")).unionByName(blocks)
+    found = everything.groupBy("row_key").agg(
+        F.count_if("counts").alias("n_license"),
         F.count_if(F.col("like") & ~F.col("ok")).alias("n_unknown"),
         F.max_by("best", F.when(F.col("ok"), F.struct("best.p", -F.col("place")))).alias("best"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("best.family")))), ",").alias("families"),

@@ -202,6 +202,26 @@ def test_license_scan(spark, sf):
     assert found == Counter([(1, 0, 0, None), (2, 0, 0, None), (3, 1, 0, None), (4, 2, 1, "mit"), (4, 2, 1, "mit"), (None, 1, 1, "proprietary")])
 
 
+def test_wrapped_licenses(spark, sf):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish and sell copies."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    prose = "The river was calm that evening and nobody spoke.\nWe walked on until the lights of the town were gone."
+    texts, want = [(0, prose)], {0: (set(), 0)}
+    for family, notice in (("mit", mit), ("bsd", bsd), ("gpl", gpl)):
+        for width in (80, 72, 40):
+            for lead in ("", "# ", " * ", "// "):
+                texts.append((len(texts), prose + "\n\n" + "\n".join(lead + x for x in textwrap.wrap(notice, width)) + "\n\n" + prose))
+                want[len(want)] = ({family}, 1)
+    texts.append((len(texts), "Copyright (c) 2019 Some One. All rights reserved.\n\n" + "\n".join(textwrap.wrap(bsd, 80))))
+    want[len(want)] = ({"bsd", "proprietary"}, 2)
+    model = license_scan.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r["doc_id"]: (set(filter(None, r["families"].split(","))), r["n_license"]) for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got == want
+
+
 def test_pipeline(spark, sf):
     from lorekeep.session import stored
 
