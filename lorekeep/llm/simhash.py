@@ -227,13 +227,13 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def judged(docs: DataFrame, radius: int, width: int, seed: int) -> DataFrame:
-    """doc_id, row_key, fp, component_id of every row."""
+    """doc_id, row_key, fp, root (of the component), component_id of every row."""
     found = stored(fingerprints(docs, width, seed), "fingerprints")
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     groups = components(links(distinct.select("fp"), radius), "simhash-links")
     groups = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(groups.join(least, "root").select("fp", "component_id"), "fp")
+    return found.join(groups.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
@@ -255,8 +255,8 @@ def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -
     Of several rows with that doc_id (or where no row has one) the smallest row hash decides, and of equal rows any.
     """
     found = judged(docs, radius, width, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one row a group: groups without any doc_id are told apart by fingerprint
-    stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("row_key").alias("row_key"))
+    # a doc_id may be the smallest of several groups, or none have one: the root tells groups apart
+    stay = found.groupBy("root").agg(F.min("row_key").alias("row_key"))
     keyed = docs.withColumn("__lk_row", F.xxhash64("doc_id", "text"))
     kept = keyed.join(stay.select(F.col("row_key").alias("__lk_row")), "__lk_row", "left_semi")
     return kept.dropDuplicates(["__lk_row"]).select(*docs.columns)

@@ -242,6 +242,19 @@ def test_pipeline(spark, sf):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, now, sf).collect(), list(clean.items()), 0.95)
 
 
+def test_keep_one_of_each_root(spark):
+    from lorekeep.llm import simhash
+
+    one, two = " ".join(f"first{i} word" for i in range(60)), " ".join(f"other{i} thing" for i in range(60))
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two)], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.keep_one(docs).collect())) == Counter([(1, one), (1, two)])
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    near = [" ".join(words), *(" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 400, 8))]
+    docs = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string")
+    found = simhash.judged(docs, 2, 3, 42).select("fp", "root").distinct().collect()
+    assert len(found) > len({r["root"] for r in found}) == simhash.keep_one(docs).count()
+
+
 def test_clashing_columns_pass_through(spark):
     from lorekeep.llm import decontaminate, simhash, token_counts
 
