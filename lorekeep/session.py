@@ -37,10 +37,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local master, as in tests, may do without the setting and gets a temporary folder; a cluster may not.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
         found = sc.getCheckpointDir()
@@ -50,9 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back.
 
-    Later stages read only the columns they need, and a lost executor never costs a recomputation.
+    Later stages read only the columns they need, and a lost executor never costs a recomputation. release() deletes
+    the table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorekeep-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames that stored() returned; for steps whose results have been stored in turn."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
