@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import stored
+from ..session import release, stored
 
-__all__ = ["LOWER", "SPACES", "SPACE_RUN", "UPPER", "ascii_lower", "stored", "widened", "without"]
+__all__ = ["LOWER", "SPACES", "SPACE_RUN", "UPPER", "ascii_lower", "free", "release", "stored", "widened", "without"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -31,3 +31,14 @@ def without(df: DataFrame, *taken: str) -> DataFrame:
 def widened(schema: StructType, more: str) -> StructType:
     """schema and the columns of a DDL string after it (StructType.add would change the frame's own schema)."""
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that no column of df has (compared without case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        taken.add(stem)
+        found.append(stem)
+    return found

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction step on edges (u > v).
 
     large: every neighbour above a node is linked to the smallest of its neighbourhood; else the node itself and all
-    its smaller neighbours are. The smallest is found by a partial aggregation and joined back, so a hub's edges are
-    never gathered in one task.
+    its smaller neighbours are. The smallest is found by a partial aggregation and joined back: the join streams a hub's
+    edges past one row, and adaptive execution may split them, since nothing above relies on how they are dealt.
     """
     around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -25,20 +25,29 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two sets of edges of equal size are equal."""
+    return a.join(b, ["u", "v"], "left_anti").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the smallest node reachable) for every node of the undirected edges (a, b) of long columns.
 
     Loops and repeated edges change nothing, edges with a null end are ignored, no edges give an empty table. Each
-    round is written to the shared folder, and a round that changes nothing ends the work.
+    round is written to the shared folder; a round that leaves the edges as they were ends the work, and the tables of
+    the rounds before the last are deleted.
     """
     ends = edges.filter("a is not null and b is not null and a <> b")
     now = stored(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    mark = None
-    while True:
-        last, mark = mark, now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
-        if mark == last or mark[0] == 0:
+    size = now.count()
+    while size:
+        after = stored(star(star(now, True), False), name)
+        left = after.count()
+        done = left == size and same(after, now)
+        release(now)
+        now, size = after, left
+        if done:
             break
-        now = stored(star(star(now, True), False), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
