@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -22,11 +19,12 @@ END, START = " ", "  "
 GROWTH = 1.5
 LEVELS = 64
 BITS_A_KEY = 12
-#: Training tokens that are counted before they are sent, and those meant for one shard of the model.
+#: Tokens that are counted or looked up together, and training tokens meant for one shard of the model.
 FLUSH, SHARD_TOKENS = 1_500_000, 1_000_000
-MOST_SHARDS = 1 << 16
-#: Bytes of the model that the workers are given at once; a larger model is probed block by block.
-BROADCAST_BYTES = 256 << 20
+#: Shards that one task builds, one after the other.
+SHARDS_PER_TASK = 4
+#: A model of up to so many bytes is broadcast; the n-grams of the documents are dealt to the shards of a larger one.
+BROADCAST_BYTES = 128 << 20
 #: Rows scored together.
 SLICE = 250
 
@@ -56,94 +54,101 @@ def probes(hashes: np.ndarray, at: int | np.ndarray, sizes: np.ndarray | int) ->
     return ((y >> np.uint64(32)) % np.asarray(sizes).astype(np.uint64)).astype(np.int64), mask
 
 
-def counted(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Counts words and bigrams of training rows, one packed row for each shard and some millions of tokens."""
-    hashes = Hashes()
-    end, start = np.array([hashes[END]], np.uint64), np.array([hashes[START]], np.uint64)
-    held: list[np.ndarray] = []
-    size = 0
-
-    def sent() -> pa.RecordBatch:
-        flat = np.concatenate([x for doc in held for x in (start, doc)])
-        is_token = np.ones(len(flat), bool)
-        is_token[np.cumsum([0, *(len(d) + 1 for d in held[:-1])])] = False
-        packed = []
-        for values in (flat[is_token], pairs(flat[:-1], flat[1:])[is_token[1:]]):
-            found, counts = np.unique(values, return_counts=True)
-            packed.append((found, counts.astype("<u4"), np.searchsorted(shard_of(found, shards), np.arange(shards + 1))))
-        columns = [pa.array(range(shards), pa.int32())]
-        for found, counts, cut in packed:
-            columns += [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in range(shards)], pa.binary()) for x in (found, counts)]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "words", "word_counts", "bigrams", "bigram_counts"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.append(np.concatenate([hashes.of(text), end]))
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield sent()
-                held, size = [], 0
+class Flat:
+    """The word hashes of some texts, one after the other, each text between START and END."""
+
+    def __init__(self, hashes: Hashes, texts: list[str | None]):
+        start, end = (np.array([hashes[x]], np.uint64) for x in (START, END))
+        self.fill([np.concatenate([start, hashes.of(t), end]) for t in texts])
+
+    def fill(self, docs: list[np.ndarray]) -> None:
+        self.lengths = np.array([len(d) for d in docs], np.int64)
+        self.words = np.concatenate(docs)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.begins = np.zeros(len(self.words), bool)
+        self.begins[self.starts] = True
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Flat:
+        found = cls.__new__(cls)
+        found.fill(docs)
+        return found
+
+    def bigrams(self) -> np.ndarray:
+        """Of each word with the one before it; those of a START mean nothing."""
+        return np.r_[np.uint64(0), pairs(self.words[:-1], self.words[1:])]
+
+    def keys(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """Distinct words and distinct bigrams of the tokens, each with how often it occurs."""
+        return tuple(np.unique(x[~self.begins], return_counts=True) for x in (self.words, self.bigrams()))
+
+
+def batched(texts: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
+    """Consecutive rows (text last) of so many characters in all, or one row."""
+    held, size = [], 0
+    for row in texts:
+        held.append(row)
+        size += len(row[-1] or "")
+        if size >= limit:
+            yield held
+            held, size = [], 0
     if held:
-        yield sent()
+        yield held
 
 
-def summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, ascending, and their total counts."""
-    flat, each = np.frombuffer(b"".join(hashes), "<u8"), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
-    order = np.argsort(flat, kind="stable")
-    flat, each = flat[order], each[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    return flat[first], np.add.reduceat(each, first) if len(flat) else each
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, bigram, n: the words and bigrams of training rows, counted over some millions of characters at a time."""
+    hashes = Hashes()
+    for rows in batched(((t,) for b in batches for t in b.column(0).to_pylist()), 6 * FLUSH):
+        for bigram, (found, n) in enumerate(Flat(hashes, [t for (t,) in rows]).keys()):
+            for at in range(0, len(found), 1 << 16):
+                part = found[at : at + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), bigram, bool)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["hash", "bigram", "n"])
 
 
-def built(part: pa.Table) -> pa.Table:
+def built(shard: int, rows: pa.Table) -> pa.RecordBatch:
     """One shard of the model: exact word counts and the Bloom filter of its bigrams."""
-    words, counts = summed(part["words"].to_pylist(), part["word_counts"].to_pylist())
-    bigrams, seen = summed(part["bigrams"].to_pylist(), part["bigram_counts"].to_pylist())
+    flat, bigram, n = rows["hash"].to_numpy().view(np.uint64), rows["bigram"].to_numpy(zero_copy_only=False), rows["n"].to_numpy()
+
+    def summed(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, back = np.unique(flat[own], return_inverse=True)
+        return found, np.bincount(back, n[own], minlength=len(found)).astype(np.int64)  # exact below 2 ** 53
+
+    (words, counts), (grams, seen) = summed(~bigram), summed(bigram)
     levels = level(np.maximum(seen, 1))
-    words_in_filter = max(1, -(-int(levels.sum()) * BITS_A_KEY // 64))
-    bloom = np.zeros(words_in_filter, np.uint64)
+    size = max(1, -(-int(levels.sum()) * BITS_A_KEY // 64))
+    bloom = np.zeros(size, np.uint64)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        at, mask = probes(bigrams[levels >= j], j, words_in_filter)
+        at, mask = probes(grams[levels >= j], j, size)
         np.bitwise_or.at(bloom, at, mask)
-    return pa.table({
-        "shard": part["shard"].slice(0, 1).cast(pa.int32()),
-        "tokens": pa.array([int(counts.sum())], pa.int64()),
-        "distinct": pa.array([len(words)], pa.int64()),
-        "size": pa.array([16 * len(words) + 8 * len(bloom)], pa.int64()),
-        "words": pa.array([words.tobytes()], pa.binary()),
-        "counts": pa.array([counts.tobytes()], pa.binary()),
-        "bloom": pa.array([bloom.tobytes()], pa.binary()),
-    })
-
-
-class Block:
-    """Consecutive shards of the model, as flat arrays; rows come one by one, so no second copy of the model is held.
-
-    sent() hands the arrays to Spark as files for every executor; what is pickled into tasks are their names, and all
-    Python workers of an executor map the same files.
-    """
+    values = (np.int32(shard), int(counts.sum()), len(words), 16 * len(words) + 8 * len(bloom), words.tobytes(), counts.tobytes(), bloom.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["shard", "tokens", "distinct", "size", "words", "counts", "bloom"])
 
-    ARRAYS = ("words", "counts", "bloom")
 
-    def sent(self, spark: SparkSession) -> Block:
-        folder, self.names = tempfile.mkdtemp(prefix="lorekeep-lm-"), {}
-        for field in self.ARRAYS:
-            self.names[field] = f"lorekeep-lm-{uuid.uuid4().hex}-{field}.npy"
-            np.save(os.path.join(folder, self.names[field]), getattr(self, field))
-            delattr(self, field)
-            spark.sparkContext.addFile(os.path.join(folder, self.names[field]))
-        return self
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Builds the shards of a partition that is sorted by shard; one shard's rows are held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch["shard"].to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(batch)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a == b:
+                continue
+            if held and held[0]["shard"][0].as_py() != int(shard[a]):
+                yield built(held[0]["shard"][0].as_py(), pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield built(held[0]["shard"][0].as_py(), pa.Table.from_batches(held))
+
 
-    def mapped(self) -> Block:
-        for field, name in self.names.items():
-            setattr(self, field, np.asarray(np.load(SparkFiles.get(name), mmap_mode="r")))
-        return self
+class Model:
+    """Some shards of the model, as flat arrays."""
 
     def __init__(self, rows: Iterator, sizes: list, shards: int):
         self.shards = shards
         self.words = np.zeros(sum(r["distinct"] for r in sizes), np.uint64)
-        self.counts = np.zeros(len(self.words), np.uint32 if sum(r["tokens"] for r in sizes) < 1 << 32 else np.int64)
+        self.counts = np.zeros(len(self.words), np.int64)
         self.bloom = np.zeros(sum(r["size"] - 16 * r["distinct"] for r in sizes) // 8, np.uint64)
         self.sizes, self.starts = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
         first, at, word = {}, 0, 0
@@ -160,25 +165,34 @@ class Block:
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
         found, back = np.unique(hashes, return_inverse=True)
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
-        return np.where(self.words[at] == found, self.counts[at], 0).astype(np.int64)[back]
+        return looked_up(self.words, self.counts, found)[back]
 
     def levels(self, bigrams: np.ndarray) -> np.ndarray:
-        """Repeated membership probes: the highest level below which none is missing."""
-        out = np.zeros(len(bigrams), np.int8)
         shard = shard_of(bigrams, self.shards)
-        todo = np.flatnonzero(self.sizes[shard])
-        size, start = self.sizes[shard[todo]], self.starts[shard[todo]]
-        for j in range(1, LEVELS):
-            at, mask = probes(bigrams[todo], j, size)
-            there = (self.bloom[start + at] & mask) == mask
-            todo, size, start = todo[there], size[there], start[there]
-            if not len(todo):
-                break
-            out[todo] = j
-        return out
+        return probed(self.bloom, self.starts[shard], self.sizes[shard], bigrams)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, the keys ascending; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(0))
+
+
+def probed(bloom: np.ndarray, start: np.ndarray, size: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """Repeated membership probes: the highest level below which none is missing."""
+    out = np.zeros(len(bigrams), np.int8)
+    todo = np.flatnonzero(size)
+    size, start = size[todo], start[todo]
+    for j in range(1, LEVELS):
+        at, mask = probes(bigrams[todo], j, size)
+        there = (bloom[start + at] & mask) == mask
+        todo, size, start = todo[there], size[there], start[there]
+        if not len(todo):
+            break
+        out[todo] = j
+    return out
 
 
 def log_probabilities(counts: np.ndarray, before: np.ndarray, pair: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,87 +206,119 @@ def log_probabilities(counts: np.ndarray, before: np.ndarray, pair: np.ndarray,
     return np.log10(unigram), np.log10((pair + mass * unigram) / (before + mass))
 
 
+def sums(flat: Flat, counts: np.ndarray, levels: np.ndarray, total: int, distinct: int) -> list[pa.Array]:
+    """n_tokens, n_known, train_tokens, base_score, score of each text, from the counts and levels of its tokens."""
+    # a start is as frequent as an end; it is a context, not a token
+    documents = counts[flat.starts[0] + flat.lengths[0] - 1]
+    before = np.where(flat.begins, documents, counts)[:-1]
+    unigram, bigram = log_probabilities(counts[1:], before, level_counts()[levels[1:]], total, distinct)
+    token, n = ~flat.begins[1:], len(flat.lengths)
+    owner = np.repeat(np.arange(n), flat.lengths)[1:][token]
+    known = np.bincount(owner, counts[1:][token] > 0, minlength=n).astype(np.int64)
+    return [pa.array(flat.lengths - 1), pa.array(known), pa.array(np.full(n, total, np.int64)), *(pa.array(np.bincount(owner, x[token], minlength=n)) for x in (unigram, bigram))]
+
+
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def with_broadcast(rows: DataFrame, model: DataFrame, sizes: list, shards: int, total: int, distinct: int, schema: str) -> DataFrame:
+    """Scores rows (doc_id, held_out, text) in one pass, every worker holding the model."""
+    shared = rows.sparkSession.sparkContext.broadcast(Model(model.select("shard", "words", "counts", "bloom").toLocalIterator(), sizes, shards))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = Hashes(), shared.value
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.slice(at, SLICE)
+                flat = Flat(hashes, batch.column(2).to_pylist())
+                found = sums(flat, held.word_counts(flat.words), held.levels(flat.bigrams()), total, distinct)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], names=RESULT)
+
+    return rows.mapInArrow(work, schema)
+
+
+def with_shards(rows: DataFrame, model: DataFrame, shards: int, total: int, distinct: int, schema: str) -> DataFrame:
+    """Scores rows (doc_id, held_out, text) by dealing their n-grams to the shards of the model; one pass, whatever its size.
+
+    Texts are read once, in batches whose distinct n-grams become rows. A shard answers the rows of its hash range
+    from its word counts and its filter, and the answers go back to their batch, which was stored meanwhile.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document, with its word hashes, and one for each distinct n-gram of the batch."""
+        hashes, at = Hashes(), TaskContext.get().partitionId() << 32
+        for part in batched(((b.column(0).slice(i, 1), b.column(1).slice(i, 1), t) for b in batches for i, t in enumerate(b.column(2).to_pylist())), 6 * FLUSH):
+            flat = Flat(hashes, [t for *_, t in part])
+            ends = flat.starts + flat.lengths
+            ids, held = (pa.concat_arrays([x[i] for x in part]) for i in (0, 1))
+            n, own = len(part), [flat.words[a:b].tobytes() for a, b in zip(flat.starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), ids, held, pa.array(own, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
+            for bigram, (found, _) in enumerate(flat.keys()):
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.nulls(n, ids.type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(found.view(np.int64)), pa.array(np.full(n, bigram, bool))], names=names)
+            at += 1
+
+    def answered(key: tuple, asked: pa.Table, shard: pa.Table) -> pa.Table:
+        wanted, bigram = asked["hash"].to_numpy().view(np.uint64), asked["bigram"].to_numpy(zero_copy_only=False)
+        value = np.zeros(len(wanted), np.int64)
+        if len(shard) and len(wanted):
+            words, counts, bloom = (np.frombuffer(shard[c][0].as_py(), t) for c, t in (("words", "<u8"), ("counts", "<i8"), ("bloom", "<u8")))
+            value[~bigram] = looked_up(words, counts, wanted[~bigram])
+            n = int(bigram.sum())
+            value[bigram] = probed(bloom, np.zeros(n, np.int64), np.full(n, len(bloom)), wanted[bigram])
+        return asked.select(["batch", "hash", "bigram"]).append_column("value", pa.array(value))
+
+    def scored(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        flat = Flat.of([np.frombuffer(x, "<u8") for x in docs["words"].to_pylist()])
+        hashes, bigram, value = answers["hash"].to_numpy().view(np.uint64), answers["bigram"].to_numpy(zero_copy_only=False), answers["value"].to_numpy()
+
+        def of(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            order = np.argsort(hashes[own])
+            return looked_up(hashes[own][order], value[own][order], wanted)
+
+        found = sums(flat, of(~bigram, flat.words), of(bigram, flat.bigrams()), total, distinct)
+        return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), *found], names=RESULT)
+
+    names = ["batch", "doc_id", "held_out", "words", "hash", "bigram"]
+    parts = stored(rows.mapInArrow(split, f"batch long, doc_id {kind}, held_out boolean, words binary, hash long, bigram boolean"), "lm-batches")
+    asked = parts.filter("hash is not null").select(sharded(shards), "batch", "hash", "bigram")
+    answers = asked.groupBy("shard").cogroup(model.select("shard", "words", "counts", "bloom").groupBy("shard")).applyInArrow(answered, "batch long, hash long, bigram boolean, value long")
+    docs = parts.filter("words is not null").select("batch", "doc_id", "held_out", "words")
+    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, schema)
+
+
+def sharded(shards: int):
+    """The shard of column hash, from its top bits; shards is a power of two."""
+    bits = shards.bit_length() - 1
+    return (F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)).alias("shard")
+
+
 def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Scores every row of docs (doc_id, text) with a bigram model learnt from all rows that are not held out.
 
     Held out are rows whose crc32(doc_id as text; empty for null) modulo `fold` is `held_out`. The model is built shard
     by shard from all training tokens: exact counts of words (by their 64-bit hash; two of V words share one with a
-    chance of about V**2 / 2**65) and a blocked Bloom filter of (bigram, log-count level). It grows with the corpus, so
-    it is broadcast as long as it fits into broadcast_bytes; a larger one is probed in blocks of that size, each pass
-    written to the shared folder.
+    chance of about V**2 / 2**65) and a blocked Bloom filter of (bigram, log-count level). It grows with the corpus. Up
+    to broadcast_bytes of it are broadcast; of a larger one every shard answers the probes of its hash range (see
+    with_shards), which gives the same scores in one pass over the texts. A filter errs upwards: at 12 bits a key about
+    one probe in a hundred of an absent level succeeds.
 
     Returns doc_id, held_out, n_tokens (words and the end), n_known (seen in training), train_tokens, base_score (add
     0.5 unigrams) and score (the model's log10 probability). A null text is empty: just the end. Without training rows
     every count is 0. Repeated rows stay repeated, other columns are not read, an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % fold
     rows = docs.select("doc_id", (rest == held_out).alias("held_out"), "text")
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 << min(MOST_SHARDS, max(1, size // 6 // SHARD_TOKENS)).bit_length() - 1
-    packed = rows.filter(~F.col("held_out")).select("text").mapInArrow(
-        lambda batches: counted(batches, shards), "shard int, words binary, word_counts binary, bigrams binary, bigram_counts binary"
-    )
-    model = packed.repartition(shards, "shard").groupBy("shard").applyInArrow(
-        built, "shard int, tokens long, distinct long, size long, words binary, counts binary, bloom binary"
-    )
-    model = stored(model, "lm-model")
-    sizes = model.select("shard", "tokens", "distinct", "size").orderBy("shard").collect()
-    total, distinct = sum(r["tokens"] for r in sizes), sum(r["distinct"] for r in sizes)
-    cuts, held = [0], 0
-    for r in sizes:
-        held += r["size"]
-        if held > broadcast_bytes and r["shard"] > cuts[-1]:
-            cuts.append(r["shard"])
-            held = r["size"]
-    cuts.append(shards)
+    shards = 1 << max(1, size // 6 // SHARD_TOKENS).bit_length() - 1
+    counts = rows.filter(~F.col("held_out")).select("text").mapInArrow(counted, "hash long, bigram boolean, n long").select(sharded(shards), "hash", "bigram", "n")
+    counts = counts.repartition(-(-shards // SHARDS_PER_TASK), "shard").sortWithinPartitions("shard")
+    model = stored(counts.mapInArrow(by_shard, "shard int, tokens long, distinct long, size long, words binary, counts binary, bloom binary"), "lm-model")
+    total, distinct, held = model.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "size")]).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    known = level_counts()
-
-    def worker(shared, first: bool, last: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, block = Hashes(), shared.mapped()
-            for whole in batches:
-                for at in range(0, len(whole), SLICE):
-                    yield part(hashes, block, whole.slice(at, SLICE))
-
-        def part(hashes: Hashes, block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
-            start, end = np.array([hashes[START]], np.uint64), np.array([hashes[END]], np.uint64)
-            docs = [np.concatenate([start, hashes.of(t), end]) for t in batch.column(2).to_pylist()]
-            lengths = np.array([len(d) for d in docs], np.int64)
-            flat = np.concatenate(docs)
-            counts = block.word_counts(flat)
-            levels = np.r_[np.int8(0), block.levels(pairs(flat[:-1], flat[1:]))]
-            starts = np.cumsum(lengths) - lengths
-            levels[starts] = 0
-            if not first:
-                counts += np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8")
-                levels = np.maximum(levels, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int8))
-            if not last:
-                ends = (starts + lengths).tolist()
-                cut = [[x[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)] for x in (counts, levels)]
-                return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.binary()) for c in cut)], names=["doc_id", "held_out", "text", "counts", "levels"])
-            # a start is as frequent as an end; it is a context, not a token
-            begins = np.zeros(len(flat), bool)
-            begins[starts] = True
-            documents = counts[starts[0] + lengths[0] - 1]
-            before = np.where(begins, documents, counts)[:-1]
-            unigram, bigram = log_probabilities(counts[1:], before, known[levels[1:]], total, distinct)
-            token = ~begins[1:]
-            owner = np.repeat(np.arange(len(docs)), lengths)[1:][token]
-            sums = [np.bincount(owner, x[token], minlength=len(docs)) for x in (unigram, bigram)]
-            n_known = np.bincount(owner, counts[1:][token] > 0, minlength=len(docs)).astype(np.int64)
-            columns = [pa.array(lengths - 1), pa.array(n_known), pa.array(np.full(len(docs), total, np.int64)), *map(pa.array, sums)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        return work
-
-    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        part = model.filter(F.col("shard").between(low, high - 1)).select("shard", "words", "counts", "bloom")
-        shared = Block(part.toLocalIterator(), [r for r in sizes if low <= r["shard"] < high], shards).sent(spark)
-        last = i == len(cuts) - 2
-        rows = rows.mapInArrow(worker(shared, i == 0, last), result if last else f"doc_id {kind}, held_out boolean, text string, counts binary, levels binary")
-        if not last:
-            rows = stored(rows, "lm-counts")
-    return rows
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if held > broadcast_bytes:
+        return with_shards(rows, model, shards, total, distinct, schema)
+    sizes = model.select("shard", "tokens", "distinct", "size").orderBy("shard").collect()  # of a model of that size
+    return with_broadcast(rows, model, sizes, shards, total, distinct, schema)
