@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -11,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened, without
+from .common import free, release, stored, widened, without
 
 #: Runs of ASCII letters and digits and of everything beyond ASCII; texts are lower-cased (A-Z) first.
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
-#: Words of benchmark text in one broadcast set (some tens of MB); a larger benchmark is scanned in blocks of it.
-BLOCK_WORDS = 2_000_000
+#: Words of benchmark text in one broadcast set: some 16 bytes a word and its distinct words, under 50 MB in a worker. A
+#: larger benchmark is scanned in blocks of it.
+BLOCK_WORDS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: No benchmark word: such a position cannot lie in a window.
 OTHER = 0
@@ -31,59 +31,79 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Windows:
-    """The windows of a block of items: `size` consecutive words, or all words of a shorter item."""
+    """The distinct windows of a block of items: `size` consecutive words, or all words of a shorter item.
+
+    Words are numbered. For each window length, `held` has the windows' hashes (ascending), where in `flat` each window
+    stands for verification, and the items of each as slices of one array.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[str]]], size: int):
-        self.size, self.number, self.held = size, {}, {}
-        found: dict[int, dict[tuple[int, ...], set]] = {}
-        for item, words in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            n = min(size, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-        for n, windows in found.items():
-            keys = np.array(list(windows), np.uint64)
-            hashes = self.roll(keys.reshape(-1), n)[::n]
+        self.number: dict[str, int] = {}
+        self.names = [item for item, _ in items]
+        lengths = np.array([len(words) for _, words in items], np.int64)
+        self.flat = np.fromiter((self.number.setdefault(w, len(self.number) + 1) for _, words in items for w in words), np.uint32, lengths.sum())
+        starts = np.cumsum(lengths) - lengths
+        self.held = {}
+        for n in sorted(set(np.minimum(lengths, size).tolist()) - {0}):
+            own = np.flatnonzero(np.minimum(lengths, size) == n)
+            per = lengths[own] - n + 1
+            at = np.repeat(starts[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            owner = np.repeat(own, per)
+            _, first, group = np.unique(np.lib.stride_tricks.sliding_window_view(self.flat, n)[at], axis=0, return_index=True, return_inverse=True)
+            hashes = roll(self.flat, n)[at[first]]
             order = np.argsort(hashes, kind="stable")
-            self.held[n] = hashes[order], windows
-
-    def roll(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """Hash of the n ids from each position on."""
-        total = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                total = total * BASE + ids[j : len(total) + j]
-            return total ^ (total >> np.uint64(29))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pairs = np.unique(np.stack([place[group.reshape(-1)], owner]), axis=1)
+            self.held[n] = hashes[order], at[first][order], np.searchsorted(pairs[0], np.arange(len(order) + 1)), pairs[1].astype(np.int32)
 
     def scan(self, words: list[str]) -> tuple[np.ndarray, set]:
         """Which words lie inside an occurrence of a window, and the items that have one."""
-        hit, items = np.zeros(len(words), bool), set()
-        ids = np.fromiter((self.number.get(w, OTHER) for w in words), np.uint64, len(words))
+        edge, items = np.zeros(len(words) + 1, np.int64), set()
+        ids = np.fromiter((self.number.get(w, OTHER) for w in words), np.uint32, len(words))
         known = np.r_[0, np.cumsum(ids != OTHER)]
-        for n, (hashes, windows) in self.held.items():
+        for n, (hashes, at, cut, owners) in self.held.items():
             starts = np.flatnonzero(known[n:] - known[:-n] == n) if len(ids) >= n else ()
             if not len(starts):
                 continue
-            hashed = self.roll(ids, n)[starts]
-            at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
-            for start in starts[hashes[at] == hashed].tolist():
-                owners = windows.get(tuple(ids[start : start + n].tolist()))  # verifies the hit
-                if owners is not None:
-                    hit[start : start + n] = True
-                    items |= owners
-        return hit, items
-
-
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, list[str]]]]:
-    """The items, in blocks of at most `limit` words (or one item); only one block is held by the driver at a time."""
+            hashed = roll(ids, n)[starts]
+            low, high = np.searchsorted(hashes, hashed), np.searchsorted(hashes, hashed, "right")
+            while (met := low < high).any():  # one turn, but for windows that share a hash
+                starts, low, high = starts[met], low[met], high[met]
+                same = (ids[starts[:, None] + np.arange(n)] == self.flat[at[low][:, None] + np.arange(n)]).all(1)  # verifies the hit
+                np.add.at(edge, starts[same], 1)
+                np.add.at(edge, starts[same] + n, -1)
+                for window in np.unique(low[same]).tolist():
+                    items.update(owners[cut[window] : cut[window + 1]].tolist())
+                low = low + 1
+        return np.cumsum(edge[:-1]) > 0, {self.names[i] for i in items}
+
+
+def roll(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n ids from each position on."""
+    total = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for j in range(n):
+        total = total * BASE + ids[j : len(total) + j]
+    return total ^ (total >> np.uint64(29))
+
+
+def blocks(benchmark: DataFrame, limit: int, size: int) -> Iterator[list[tuple[str | None, list[str]]]]:
+    """The items, in blocks of at most `limit` words; only one block is held by the driver at a time.
+
+    A longer item goes on in the next blocks, with the size - 1 words before each cut, so that no window is lost.
+    """
     block, held = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         words = words_of(row["text"])
-        if block and held + len(words) > limit:
-            yield block
-            block, held = [], 0
-        block.append((row["item"], words))
-        held += len(words)
+        last = max(1, len(words) - size + 1)  # windows that the item has
+        step = max(1, limit - size + 1)
+        for at in range(0, last, step):
+            part = words[at : at + step + size - 1] if len(words) > size else words
+            if block and held + len(part) > limit:
+                yield block
+                block, held = [], 0
+            block.append((row["item"], part))
+            held += len(part)
     yield block
 
 
@@ -92,8 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, least:
 
     Adds n_words, n_hit (words inside any occurrence of a window), n_items (items with an occurring window),
     items_sha256 and contaminated (n_hit > 0 and least * n_hit >= n_words); input columns of these names are replaced,
-    others pass through. The windows are broadcast in blocks of proven size, and the documents are scanned once for
-    each block, the hits of all blocks gathering in the row; there is no shuffle.
+    others pass through. The windows are broadcast in blocks of a fixed size, and the documents are scanned once for
+    each block, the hits of all blocks gathering in the row; there is no shuffle. Between two blocks the rows are stored,
+    so a task holds one block only.
 
     remove="documents" drops contaminated rows; remove="spans" cuts the hit words out of `text` instead. Null and
     empty texts have no words and are never contaminated; items without words match nothing; a repeated item id counts
@@ -102,8 +123,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, least:
     if remove not in (None, "documents", "spans"):
         raise ValueError(f"remove must be documents, spans or None, not {remove!r}")
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    docs = without(docs, *added, "__lk_words", "__lk_items")
+    docs = without(docs, *added)
     names, at = docs.columns, docs.columns.index("text")
+    hit_words, hit_items, words_before, items_before = free(docs, "hit_words", "hit_items", "words_before", "items_before")
     spark = docs.sparkSession
 
     def scanned(rows: DataFrame, block: list) -> DataFrame:
@@ -120,32 +142,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, least:
                     hits.append(np.flatnonzero(hit))
                     items.append(sorted(x for x in found if x is not None))
                 extra = [pa.array(total, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "n_words", "__lk_words", "__lk_items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "n_words", hit_words, hit_items])
 
-        return rows.mapInArrow(work, widened(rows.schema, "n_words long, __lk_words array<long>, __lk_items array<string>"))
+        return rows.mapInArrow(work, widened(rows.schema, f"n_words long, {hit_words} array<long>, {hit_items} array<string>"))
 
-    found = None
-    for block in blocks(benchmark, block_words):
+    found = last = None
+    for block in blocks(benchmark, block_words, size):
         if found is None:
             found = scanned(docs, block)
             continue
-        again = scanned(found.drop("n_words").withColumnsRenamed({"__lk_words": "__lk_w0", "__lk_items": "__lk_i0"}), block)
-        found = again.withColumn("__lk_words", F.array_union("__lk_w0", "__lk_words")).withColumn("__lk_items", F.array_union("__lk_i0", "__lk_items")).drop("__lk_w0", "__lk_i0")
-    found = found.withColumns({"n_hit": F.size("__lk_words").cast("long"), "n_items": F.size("__lk_items").cast("long")})
+        now = stored(found, "contamination")
+        if last is not None:
+            release(last)
+        last = now
+        again = scanned(now.drop("n_words").withColumnsRenamed({hit_words: words_before, hit_items: items_before}), block)
+        both = {hit_words: F.array_union(words_before, hit_words), hit_items: F.array_union(items_before, hit_items)}
+        found = again.withColumns(both).drop(words_before, items_before)
+    found = found.withColumns({"n_hit": F.size(hit_words).cast("long"), "n_items": F.size(hit_items).cast("long")})
     found = found.withColumns({
-        "items_sha256": F.sha2(F.array_join(F.array_sort("__lk_items"), ",").cast("binary"), 256),
+        "items_sha256": F.sha2(F.array_join(F.array_sort(hit_items), ",").cast("binary"), 256),
         "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * least >= F.col("n_words")),
     })
     if remove == "documents":
         found = found.filter(~F.col("contaminated"))
     if remove == "spans":
-        found = cut_spans(found, at)
+        found = cut_spans(found, at, hit_words)
     return found.select(*names, *added)
 
 
-def cut_spans(found: DataFrame, at: int) -> DataFrame:
+def cut_spans(found: DataFrame, at: int, hit_words: str) -> DataFrame:
     """text without its hit words (the characters between two hit words of a run go too)."""
-    column = found.columns.index("__lk_words")
+    column = found.columns.index(hit_words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +193,3 @@ def cut_spans(found: DataFrame, at: int) -> DataFrame:
 
     return found.mapInArrow(work, found.schema)
 
-
-def digest_of(items: set[str]) -> str:
-    """items_sha256 of a set of item ids, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
