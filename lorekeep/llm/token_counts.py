@@ -6,7 +6,7 @@ pair and all of them merge at once; the symbols left when no pair has a rank are
 
 from __future__ import annotations
 
-import json
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +18,15 @@ from . import token_words as W
 from .common import widened, without
 
 NEVER = np.int64(1 << 40)
+#: Bytes from which on a pre-token is merged along links, so that a round touches only what it changes.
+LONG = 256
 
 
 class MergeTable:
     """The merges of a vocabulary file as sorted arrays: pair key -> rank, merged symbol."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+        model = W.description(path)["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         letters = W.byte_letters()
         self.plain = np.array([vocab[letters[b]] for b in range(256)], np.int64)
@@ -36,7 +37,7 @@ class MergeTable:
         self.size = np.int64(len(vocab))
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], np.arange(len(pairs), dtype=np.int64)[order], made[order]
+        self.keys, self.ranks, self.made, self.made_by = keys[order], np.arange(len(pairs), dtype=np.int64)[order], made[order], made
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; rank NEVER where there is no merge."""
@@ -48,13 +49,69 @@ class MergeTable:
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each (non-empty) pre-token."""
         raw = [w.encode() for w in words]
-        sizes = np.array([len(r) for r in raw], np.int64)
         out = np.ones(len(raw), np.int64)
+        long = np.array([len(r) >= LONG for r in raw], bool)
+        for own, count in ((long, self.linked), (~long, self.ragged)):
+            if own.any():
+                out[own] = count([r for r, there in zip(raw, own.tolist(), strict=True) if there])
+        return out
+
+    def symbols(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pre-tokens' symbols, the pre-token of each, and where each pre-token ends."""
+        sizes = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        owner = np.repeat(np.arange(len(raw)), sizes)
-        symbols = self.plain[flat]
-        ends = np.cumsum(sizes) - 1
-        symbols[ends] = self.last[flat[ends]]
+        found, ends = self.plain[flat], np.cumsum(sizes) - 1
+        found[ends] = self.last[flat[ends]]
+        return found, np.repeat(np.arange(len(raw)), sizes), ends
+
+    def linked(self, raw: list[bytes]) -> np.ndarray:
+        """Tokens of long pre-tokens: one round a rank, over the places that wait for it.
+
+        A merge makes a symbol that only higher ranks use, so the ranks come in ascending order, and a round looks up
+        only the pairs beside the places that it merged.
+        """
+        symbols, owner, ends = self.symbols(raw)
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends], before[np.r_[0, ends[:-1] + 1]] = n, -1
+        alive, rank = np.ones(n, bool), np.full(n, NEVER)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            rank[at] = NEVER
+            at = at[after[at] < n]
+            rank[at], _ = self.find(symbols[at], symbols[after[at]])
+            at = at[rank[at] < NEVER]
+            at = at[np.argsort(rank[at], kind="stable")]
+            first = np.flatnonzero(np.r_[True, np.diff(rank[at]) > 0]) if len(at) else ()
+            for r, part in zip(rank[at[first]].tolist() if len(at) else (), np.split(at, first[1:]) if len(at) else (), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        look(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            at = at[alternate(np.r_[False, after[at[:-1]] == at[1:]])]
+            gone = after[at]
+            symbols[at], alive[gone], rank[gone] = self.made_by[r], False, NEVER
+            after[at] = after[gone]
+            inside = at[after[at] < n]
+            before[after[inside]] = inside
+            left = before[at]
+            look(np.unique(np.r_[at, left[left >= 0]]))
+        return np.bincount(owner[alive], minlength=len(raw))
+
+    def ragged(self, raw: list[bytes]) -> np.ndarray:
+        """Tokens of short pre-tokens: in each round every one of them merges the pair of its lowest rank."""
+        out = np.ones(len(raw), np.int64)
+        symbols, owner, _ = self.symbols(raw)
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             length = np.diff(np.r_[starts, len(symbols)])
@@ -66,10 +123,7 @@ class MergeTable:
             at = np.flatnonzero((rank == np.repeat(lowest, length)) & (rank < NEVER))
             if not len(at):
                 break
-            # of overlapping pairs (a a a) every second one merges, counted from the left of its run
-            run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
-            nth = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
-            at = at[nth % 2 == 0]
+            at = at[alternate(np.r_[False, np.diff(at) == 1])]
             symbols[at] = made[at]
             keep = np.repeat(~done, length)
             keep[at + 1] = False
@@ -77,6 +131,13 @@ class MergeTable:
         return out
 
 
+def alternate(follows: np.ndarray) -> np.ndarray:
+    """Of overlapping pairs (a a a) every second one merges, counted from the left of its run; follows: overlaps the one before."""
+    run = np.flatnonzero(~follows)
+    nth = np.arange(len(follows)) - np.repeat(run, np.diff(np.r_[run, len(follows)]))
+    return nth % 2 == 0
+
+
 class Counter(dict):
     """Chunk -> its tokens; the pre-tokens of those not seen before are merged together, batch by batch."""
 

@@ -8,6 +8,7 @@ a white-space run is looked up once and remembered.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -19,9 +20,31 @@ PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LE
 REMEMBERED = 700_000
 
 
+# What the vocabulary file states about its texts and this module relies on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def description(path: str) -> dict:
+    """The vocabulary file's own description; a ValueError if its texts are not split the way this module does it."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    model = found["model"]
+    same = found.get("normalizer") == NORMALIZER and found.get("pre_tokenizer") == SPLITTER and model.get("type") == "BPE"
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    special = all(t["content"].startswith("<|") for t in found.get("added_tokens", ()))
+    if not (same and plain and special):
+        raise ValueError(f"{path} is no byte-level BPE vocabulary of lower-cased words, so its tokens would be counted wrongly")
+    return found
+
+
 def load(path: str):
     from tokenizers import Tokenizer
 
+    description(path)
     return Tokenizer.from_file(path)
 
 

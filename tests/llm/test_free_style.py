@@ -95,6 +95,32 @@ def test_merges_equal_the_library():
     assert table.counts(words).tolist() == [len(x.ids) for x in encode.encode_batch(words, add_special_tokens=False)]
 
 
+def test_long_pre_tokens():
+    import time
+
+    table, encode = token_counts.MergeTable(queries.vocabulary()), library()
+    rng = random.Random(4)
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "aaab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz") for n in (256, 300, 5000)] + ["a" * 1001, "ab" * 700]
+    want = [len(x.ids) for x in encode.encode_batch(words, add_special_tokens=False)]
+    assert table.counts(words).tolist() == table.linked([w.encode() for w in words]).tolist() == want
+    assert table.ragged([w.encode() for w in words[:6]]).tolist() == want[:6]
+    start = time.time()
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    assert table.counts([word])[0] > 200_000 and time.time() - start < 30
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="no byte-level BPE"):
+        token_counts.MergeTable(str(path))
+
+
 def brute_simhash(texts, radius=2):
     from xxhash import xxh64_intdigest
 
