@@ -16,8 +16,6 @@ from .words import Hashes, pairs
 BUCKETS = 1 << 16
 #: Labelled target documents that the target model is fitted on, at most.
 TARGET_ROWS = 50_000
-#: n-grams counted before they are sent.
-FLUSH = 3_000_000
 #: Added to every bucket of the target and of the raw model.
 SMOOTHING = 0.5
 
@@ -32,13 +30,12 @@ def model_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, raw, target: n-grams of all rows, and of those with is_target."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, held = Hashes(), np.zeros((2, buckets), np.int64), 0
+        hashes, counts = Hashes(), np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(grams(hashes, text, buckets), minlength=buckets)
-                counts[0] += found
-                if target:
-                    counts[1] += found
+            found = [grams(hashes, t, buckets) for t in batch.column(0).to_pylist()]
+            for row, some in enumerate((found, [g for g, target in zip(found, batch.column(1).to_pylist(), strict=True) if target])):
+                if some:
+                    counts[row] += np.bincount(np.concatenate(some), minlength=buckets)
         at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
 
@@ -91,13 +88,13 @@ def threshold(keys: DataFrame, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, buckets: int = BUCKETS, length: int | None = 512, target_rows: int = TARGET_ROWS, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, buckets: int = BUCKETS, length: int | None = None, target_rows: int = TARGET_ROWS, seed: int = 42) -> DataFrame:
     """Importance resampling of docs (doc_id, text) towards the documents labelled good.
 
     Two bag models over hashed words and word pairs are counted: the raw one over all rows, the target one over the rows
     labelled quality 1 and not toxic (a bounded sample of at most target_rows of them, by hash of doc_id). A row's
-    log weight is its log ratio under the two, scaled to a text of `length` n-grams (None: the plain sum). Adding
-    Gumbel noise and taking the k largest draws k rows without replacement; k is `fraction` of the rows, by default
+    log weight is the log of the ratio of its probabilities under the two; `length`, an option that departs from plain
+    importance weights, scales it to a text of so many n-grams. Adding Gumbel noise and taking the k largest draws k rows without replacement; k is `fraction` of the rows, by default
     the share of quality 1 among the labels.
 
     Returns doc_id, n_grams, log_weight, gumbel_key and kept for every row. Keys are compared to six decimals; rows

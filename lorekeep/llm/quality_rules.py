@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, without
+from .common import SPACE_RUN, SPACES, free, stored, without
 
 SYMBOLS = "#*$%&|<>"
 DIGITS = "0123456789"
@@ -113,11 +113,20 @@ def passes(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
-def judge(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """The ledger, base_failed and kept (no rule of the policy nor of the base fails)."""
+def recorded(docs: DataFrame) -> DataFrame:
+    """The ledger of docs without their texts, as a stored table that any number of policies and ablations read."""
+    return stored(ledger(docs).drop("text"), "quality-ledger")
+
+
+def verdicts(ledgered: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The ledger with base_failed and kept (no rule of the policy nor of the base fails), from the bits alone."""
     failed = F.col("fail_bits").bitwiseAND(F.lit(BASE).cast("long")) != 0
-    judged = ledger(without(docs, "base_failed", "kept"))
-    return judged.withColumns({"base_failed": failed, "kept": ~failed & passes(policy)})
+    return without(ledgered, "base_failed", "kept").withColumns({"base_failed": failed, "kept": ~failed & passes(policy)})
+
+
+def judge(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The verdicts of one policy on docs in a single pass; recorded() is the way to judge more than once."""
+    return verdicts(ledger(without(docs, "base_failed", "kept")), policy)
 
 
 def accepted(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
@@ -126,8 +135,9 @@ def accepted(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     A filter on `kept` alone would be pushed below the ledger with every measure written out in its condition, and each
     would be computed again wherever the condition names it. The row number holds the filter above the ledger.
     """
-    judged = judge(docs, policy).withColumn("__lk_number", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("__lk_number") >= 0)).select(*docs.columns)
+    (number,) = free(docs, "number")
+    judged = judge(docs, policy).withColumn(number, F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col(number) >= 0)).select(*docs.columns)
 
 
 def ablations(ledgered: DataFrame, policy: Policy = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.verdicts(quality_rules.recorded(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_digits", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of every policy rejects alone, from one stored ledger."""
+    ledger = quality_rules.recorded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = [quality_rules.ablations(ledger, policy) for policy in quality_rules.POLICIES]
+    return reduce(DataFrame.unionByName, found)
+
+
 #: The rules of the contract, as host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -71,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_quality_classifier, op3_token_counts, op4_line_dedup, op5_quality_rules, op6_lm_scoring, op7_simhash,
-        op8_url_filters, op9_decontamination, op10_license_scan,
+        op8_url_filters, op9_decontamination, op10_license_scan, quality_ablations,
     )
 }
 
@@ -116,3 +125,11 @@ hit AS (SELECT rid, rule_host || rule_path AS rule, r.verdict, row_number() OVER
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM hit WHERE nth = 1) USING (rid)
 """,
 }
+LEDGER = SQL["op5_quality_rules"].rpartition("SELECT doc_id")[0].rstrip()
+SQL["quality_ablations"] = LEDGER + """,
+p(policy, version, mask) AS (VALUES ('base', 1, 3), ('web', 1, 127), ('web', 2, 255), ('web', 3, 251)),
+r(bit, rule) AS (VALUES (0, 'few_words'), (1, 'repeated_words'), (2, 'many_words'), (3, 'short_words'), (4, 'long_words'), (5, 'symbols'), (6, 'duplicate_lines'), (7, 'digits'))
+SELECT policy, version, rule, count(*) AS n_rows, count(*) FILTER (WHERE (fail_bits >> bit) & 1 = 1) AS failed, count(*) FILTER (WHERE fail_bits & mask = 1 << bit) AS "only",
+  count(*) FILTER (WHERE fail_bits & mask = 0) AS kept, count(*) FILTER (WHERE fail_bits & mask = 0 OR fail_bits & mask = 1 << bit) AS kept_without
+FROM b, p, r GROUP BY policy, version, rule
+"""

@@ -262,7 +262,53 @@ def test_importance(spark, sf, docs, odd):
     assert min(r["gumbel_key"] for r in kept) >= max(r["gumbel_key"] for r in rows if not r["kept"]) - 1e-6
     good = [r["kept"] for r in rows if labels.get(r["doc_id"]) == (1, 0)]
     junk = [r["kept"] for r in rows if labels.get(r["doc_id"], (1, 0))[0] == 0]
+    assert np.mean(good) > 0.95 and (not junk or np.mean(junk) < 0.5 * np.mean(good))
+    scaled = importance.resample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), length=512).collect()
+    good = [r["kept"] for r in scaled if labels.get(r["doc_id"]) == (1, 0)]
+    junk = [r["kept"] for r in scaled if labels.get(r["doc_id"], (1, 0))[0] == 0]
     assert np.mean(good) > 0.95 and (not junk or np.mean(junk) < 0.3)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert importance.resample(odd, empty).filter("kept").count() == len(ODD)
     assert importance.resample(odd.limit(0), empty).count() == 0
+
+
+def brute_importance(texts, target):
+    """n_grams and log weight of each text: sums over the hashed words and word pairs, in plain Python integers."""
+    from xxhash import xxh64_intdigest
+
+    full = (1 << 64) - 1
+
+    def spread(x):
+        x = (x ^ (x >> 32)) * 0x9E3779B97F4A7C15 & full
+        x = (x ^ (x >> 29)) * 0xC2B2AE3D27D4EB4F & full
+        return x ^ (x >> 32)
+
+    found = []
+    for _, text in texts:
+        words = [xxh64_intdigest(w) for w in WORD.findall(low(text))]
+        found.append([h % 65536 for h in words] + [spread((a * 0x9E3779B97F4A7C15 + b) & full) % 65536 for a, b in zip(words, words[1:])])
+    raw, good = Counter(g for own in found for g in own), Counter(g for own, t in zip(found, target, strict=True) if t for g in own)
+    sizes = [sum(x.values()) + 0.5 * 65536 for x in (good, raw)]
+    ratio = lambda g: math.log((good[g] + 0.5) / sizes[0]) - math.log((raw[g] + 0.5) / sizes[1])
+    return [(len(own), sum(map(ratio, own))) for own in found]
+
+
+def test_importance_equals_brute_force(spark, sf, docs, odd):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    cases = [(spark.read.parquet(f"{sf}/documents.parquet"), labels, docs, good), (odd, spark.createDataFrame([(1, 1, 0), (9, 1, None), (5, 0, 0), (6, 1, 1), (9, 1, 0), (None, 1, 0), (12, None, 0)], "doc_id long, quality int, toxic int"), [r[:2] for r in ODD], {1, 9})]
+    for frame, marks, texts, target in cases:
+        u = "(shiftrightunsigned(xxhash64(xxhash64(doc_id, text), 42), 11) + 0.5D) / 9007199254740992D"
+        noise = Counter((r["doc_id"], r["text"], r["g"]) for r in frame.selectExpr("doc_id", "text", f"-ln(-ln({u})) AS g").collect())
+        want = Counter()
+        fractions = [r["quality"] == 1 for r in marks.collect()]
+        weights = brute_importance(texts, [i in target for i, _ in texts])
+        gumbel = {(i, t): g for i, t, g in noise}
+        for (i, t), (n, w) in zip(texts, weights, strict=True):
+            want[i, n, round(w, 4), round(w + gumbel[i, t], 4)] += 1
+        rows = importance.resample(frame, marks).collect()
+        got = Counter((r["doc_id"], r["n_grams"], round(r["log_weight"], 4), round(r["gumbel_key"], 4)) for r in rows)
+        assert sum((got - want).values()) <= 0.01 * len(rows)  # a last digit may round either way
+        k = round(sum(fractions) / len(fractions) * len(texts))
+        least = sorted((r["gumbel_key"] for r in rows), reverse=True)[k - 1]
+        assert all(r["kept"] == (r["gumbel_key"] >= least - 1e-6) for r in rows)

@@ -25,7 +25,8 @@ def tables(sf):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
-    want = tables(sf).execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall()
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    want = tables(sf).execute(f"SELECT {columns} FROM ({queries.SQL[name]})").fetchall()
     assert Counter(want) == Counter(map(tuple, df.collect()))
 
 
