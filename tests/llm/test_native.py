@@ -316,3 +316,28 @@ def test_bitmap_bound_loses_no_similar_pair(spark):
     held = {r["lh"]: set(r["shingles"]) for r in sets.collect()}
     similar = {(a, b) for a in held for b in held if 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))}
     assert similar <= passed and len(passed) < len(held) ** 2
+
+
+def test_license_lines_equal_brute_force(spark, sf):
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    model = license_scan.fit(frame)
+    lines = [x for r in frame.orderBy("doc_id").limit(40).collect() for x in lines_in(r["text"])][:300]
+    lines += [text for _, text in license_scan.variants()] + ["", "  ", "license license license", "the MIT License is a licence", "w " * 5000 + "Released under the MIT License."]
+
+    def judged(line):
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)) if w]
+        grams = list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
+        if not any(g in model.weights for g in grams):
+            return 0, 0, None
+        found = model.probabilities(grams)
+        best = max(found, key=lambda f: (round(found[f], 6), f))
+        own = [set(re.findall("[a-z0-9]+", t.lower())) for f, t in license_scan.TEMPLATES if f == best]
+        sure = best != license_scan.NONE and found[best] >= model.threshold - 1e-6 and any(len(o & set(words)) >= license_scan.CONFIRM * len(o) for o in own)
+        return int(sure), int(best != license_scan.NONE and not sure), best if sure else None
+
+    rows = license_scan.scan(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), model).collect()
+    got = {r["doc_id"]: (r["n_license"], r["n_unknown"], r["family"]) for r in rows}
+    assert got == {i: judged(x) for i, x in enumerate(lines)} and sum(v[0] for v in got.values()) > 200
+    assert license_scan.scan(frame.select("doc_id", "text").limit(0)).count() == 0
+    clash = license_scan.scan(frame.limit(3).selectExpr("cast(doc_id AS string) AS doc_id", "text", "1 AS place", "2 AS row_key", "3 AS family"), model)
+    assert [type(r["doc_id"]) for r in clash.collect()] == [str] * 3
