@@ -20,9 +20,9 @@ GROWTH = 1.5
 LEVELS = 64
 BITS_A_KEY = 12
 #: Tokens that are counted or looked up together, and training tokens meant for one shard of the model.
-FLUSH, SHARD_TOKENS = 1_500_000, 1_000_000
-#: Shards that one task builds, one after the other.
-SHARDS_PER_TASK = 4
+FLUSH, SHARD_TOKENS = 1_000_000, 1_000_000
+#: Shards that a task builds, on average.
+SHARDS_PER_TASK = 2
 #: A model of up to so many bytes is broadcast; the n-grams of the documents are dealt to the shards of a larger one.
 BROADCAST_BYTES = 128 << 20
 #: Rows scored together.
@@ -126,20 +126,17 @@ def built(shard: int, rows: pa.Table) -> pa.RecordBatch:
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Builds the shards of a partition that is sorted by shard; one shard's rows are held at a time."""
-    held: list[pa.RecordBatch] = []
+    """Builds the shards of a partition, whose few rows a shard are held together."""
+    held: dict[int, list[pa.RecordBatch]] = {}
     for batch in batches:
         shard = batch["shard"].to_numpy()
-        cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(batch)]
-        for a, b in zip(cut, cut[1:], strict=False):
-            if a == b:
-                continue
-            if held and held[0]["shard"][0].as_py() != int(shard[a]):
-                yield built(held[0]["shard"][0].as_py(), pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield built(held[0]["shard"][0].as_py(), pa.Table.from_batches(held))
+        order = np.argsort(shard, kind="stable")
+        batch, shard = batch.take(pa.array(order)), shard[order]
+        for a, b in zip(cut := [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)], cut[1:], strict=False):
+            if a < b:
+                held.setdefault(int(shard[a]), []).append(batch.slice(a, b - a))
+    for shard in sorted(held):
+        yield built(shard, pa.Table.from_batches(held.pop(shard)))
 
 
 class Model:
@@ -313,7 +310,7 @@ def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: in
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(1, size // 6 // SHARD_TOKENS).bit_length() - 1
     counts = rows.filter(~F.col("held_out")).select("text").mapInArrow(counted, "hash long, bigram boolean, n long").select(sharded(shards), "hash", "bigram", "n")
-    counts = counts.repartition(-(-shards // SHARDS_PER_TASK), "shard").sortWithinPartitions("shard")
+    counts = counts.repartition(-(-shards // SHARDS_PER_TASK), "shard")
     model = stored(counts.mapInArrow(by_shard, "shard int, tokens long, distinct long, size long, words binary, counts binary, bloom binary"), "lm-model")
     total, distinct, held = model.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "size")]).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
