@@ -183,29 +183,31 @@ def embed_tokens(text: str) -> list[str]:
     for w in re.findall(r"[a-z0-9][a-z0-9_./-]+", text.lower()):
         found.append(w)
         if len(w) > 6:
-            found += [p for p in re.split(r"[_./-]", w) if len(p) > 1 and p != w]
-    for run in re.findall("[一-鿿]+", text):
+            found += [p for p in re.split(r"[_./-]", w) if len(p) > 2]
+    for run in re.findall("[一-鿿぀-ヿ]{2,}", text):
         found += [run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)]
     return found
 
 
-def hash_vector(text: str | None, dims: int = 384) -> list[float]:
-    """Feature hashing: each token adds 1 + ln(tf) in one signed dimension and half of it in another; unit length."""
+def hash_vector(text: str | None, dims: int = 384, chars: int | None = None) -> list[float]:
+    """Feature hashing: each token adds 1 + ln(tf) in one signed dimension and half of it in another; not yet of unit length.
+
+    White space counts as one space; `chars` cuts the text (a store that embeds only beginnings has 4000), None takes it whole.
+    """
     v = [0.0] * dims
-    for token, n in Counter(embed_tokens((text or "")[:4000])).items():
+    for token, n in Counter(embed_tokens(re.sub(r"\s+", " ", text or "").strip()[:chars])).items():
         w = 1 + math.log(n)
-        for salt, share in (("", 1.0), ("#", 0.5)):
+        for salt, share in (("", 1.0), ("#2", 0.5)):
             h = fnv1a(token + salt)
-            v[h % dims] += share * w * (1 if h >> 31 == 0 else -1)
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
+            v[h % dims] += share * w * (1 if h & 1 else -1)
+    return v
 
 
-def hash_embed(rows: DataFrame, column: str = "content", dims: int = 384) -> DataFrame:
-    """id, embedding by hash_vector, for stores without a model."""
+def hash_embed(rows: DataFrame, column: str = "content", dims: int = 384, chars: int | None = None) -> DataFrame:
+    """id, embedding by hash_vector, for stores without a model; vectors are brought to unit length when they are stored."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "embedding": [hash_vector(t, dims) for t in part["text"]]})
+            yield pd.DataFrame({"id": part["id"], "embedding": [hash_vector(t, dims, chars) for t in part["text"]]})
 
     return rows.select("id", F.col(column).alias("text")).mapInPandas(work, "id long, embedding array<float>")

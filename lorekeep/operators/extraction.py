@@ -10,37 +10,60 @@ from ..functions.scalars import clamp
 from .graph import similar_pairs
 from .security import has_secrets
 
-# What introduces a directive, and the kind of memory that it makes.
+# What introduces a directive and the memory that it makes (kind, confidence, importance, tag), commands that
+# are worth keeping, and headings of assignments.
 DIRECTIVES = (
-    ("preference", r"(?i)\b(?:i prefer|please always|always use|never use)\b\s+([^.\n]{8,200})", 0.8),
-    ("decision", r"(?i)\b(?:we decided(?: to)?|let's go with|the decision is)\b\s+([^.\n]{8,200})", 0.8),
-    ("fact", r"(?i)\b(?:remember that|note that|for the record)\b[,:]?\s+([^.\n]{8,200})", 0.85),
-    ("instruction", r"(?i)\b(?:make sure to|from now on|do not ever)\b\s+([^.\n]{8,200})", 0.75),
+    (r"(?:记住|请记住|要记得|以后都?|从今以后|下次|每次都?|一定要|务必|必须)\s*[：:，,]?\s*(.{6,200})", "preference", 0.72, 0.8, "user/preference"),
+    (r"(?:不要|别|禁止|严禁|不准|不能)\s*(.{6,200})", "preference", 0.65, 0.75, "user/preference"),
+    (r"(?:我(?:们)?(?:的)?习惯|我(?:们)?(?:都|一般|通常)(?:是|用|会))\s*(.{6,200})", "preference", 0.6, 0.6, "user/preference"),
+    (r"(?:原因是|因为|之所以.{2,20}是因为|理由是)\s*(.{10,200})", "decision", 0.5, 0.55, "dev/decision"),
+    (r"(?:问题(?:出)?在|根因是|原来是|罪魁祸首是|坑在)\s*(.{6,200})", "issue", 0.6, 0.65, "dev/troubleshooting"),
+    (r"(?:学到了|明白了|原来|涨知识|第一次知道)\s*(.{8,200})", "learning", 0.5, 0.5, "learning"),
 )
+COMMAND = r"\b((?:docker(?:\s+compose)?|kubectl|systemctl|pm2|ssh|scp|rsync|pnpm|npm|yarn|make|cargo|go|python3?|uv|psql|mysql|redis-cli|nginx|certbot)\s+[^\n`'\"]{6,160})"
+QUERYING = r"\b(?:--help|-h|--version|status|list|ls|ps)\b\s*$"
+BRIEF_HEADING = r"(?im)^\s*(?:##?\s*)?(?:Goal|Task|Context|Symptom|Acceptance|Deliverable|Constraints|目标|任务|背景|验收|约束)\s*[:：]?\s*$"
 
 
 def task_brief(text: Column) -> Column:
-    """Long structured assignments, which hold no lasting facts."""
-    fences = F.size(F.regexp_extract_all(text, F.lit("(?m)^```"), F.lit(0))) >= 2
-    return (F.length(text) > 900) & text.rlike(r"(?m)^#{1,6}\s") & (fences | text.rlike(r"(?mi)^#{1,6}\s*(task|goal|requirements|context|acceptance)"))
+    """Assignments, which hold no lasting facts: any long text, and any with a heading, a fenced block or an assignment's section."""
+    fenced = F.size(F.regexp_extract_all(text, F.lit("```"), F.lit(0))) >= 2
+    return (F.length(text) > 900) | text.rlike(r"(?m)^#{1,3}\s") | fenced | text.rlike(BRIEF_HEADING)
 
 
 def well_formed(c: Column) -> Column:
-    symbols = F.length(c) - F.length(F.regexp_replace(c, r"[{}\[\]<>|=;$#*~^\\]", ""))
-    return F.length(c).between(8, 200) & ~c.rlike(r"^[,.;:!?)\]}]") & (symbols <= 0.08 * F.length(c))
-
-
-def memory_of(kind: str, confidence: float):
-    """A function from a matched text to a memory."""
-    return lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("title"), F.lit(confidence).alias("confidence"))
+    symbols = F.length(c) - F.length(F.regexp_replace(c, r"[|`{}<>\[\]$#*_~]", ""))
+    return F.length(c).between(8, 200) & ~c.rlike(r"^[，,。、；;：:）)\]】>|·—-]") & (symbols <= 0.08 * F.length(c))
 
 
 def extract(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, kind, title, confidence: directives in user turns that are no task briefs; secrets make credentials."""
-    user = turns.filter((F.col("role") == "user") & ~task_brief(F.col("text")))
-    parts = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), memory_of(k, round(c - 0.1, 2))) for k, p, c in DIRECTIVES]
-    found = user.select("conv_id", "turn", F.explode(F.concat(*parts)).alias("m")).select("conv_id", "turn", "m.*").filter(well_formed(F.col("title")))
-    return found.withColumn("kind", F.when(has_secrets(F.col("title")), "credential").otherwise(F.col("kind")))
+    """conv_id, turn, kind, title, content, confidence, importance, tag, sensitivity of what rules find in sessions.
+
+    Directives come from user turns that are no task briefs, commands from every turn. Rules understand nothing, so a
+    directive's confidence is lowered by 0.1. Of finds with the same first 40 characters a session keeps the first:
+    directives before commands, then by turn, rule and place. Anything that holds a secret becomes secret, and a directive
+    with one a credential.
+    """
+    def finds(pattern: str, phase: int, rule: int, kind: str, confidence: float, importance: float, tag: str) -> Column:
+        values = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1))
+        here = F.lit(True) if phase else (F.col("role") == "user") & ~task_brief(F.col("text"))
+
+        def one(v: Column, i: Column) -> Column:
+            what = {"phase": F.lit(phase), "rule": F.lit(rule), "place": i, "kind": F.lit(kind), "content": F.trim(F.regexp_replace(v, r"\s+", " ") if not phase else v),
+                    "confidence": F.lit(confidence), "importance": F.lit(importance), "tag": F.lit(tag)}
+            return F.struct(*[c.alias(n) for n, c in what.items()])
+
+        return F.when(here, F.transform(values, one)).otherwise(F.array().cast("array<struct<phase:int,rule:int,place:int,kind:string,content:string,confidence:double,importance:double,tag:string>>"))
+
+    parts = [finds(p, 0, i, k, round(c - 0.1, 2), w, t) for i, (p, k, c, w, t) in enumerate(DIRECTIVES)]
+    parts.append(finds(COMMAND, 1, 0, "howto", 0.4, 0.4, "ops/command"))
+    rows = turns.select("conv_id", "turn", F.explode(F.concat(*parts)).alias("m")).select("conv_id", "turn", "m.*")
+    worth = F.when(F.col("phase") == 0, well_formed(F.col("content"))).otherwise((F.length("content") >= 12) & ~F.col("content").rlike(QUERYING))
+    rows = rows.filter(worth).withColumn("title", F.left("content", F.lit(40)))
+    nth = F.row_number().over(W.partitionBy("conv_id", "title").orderBy("phase", "turn", "rule", "place"))
+    rows = rows.withColumn("nth", nth).filter("nth = 1").withColumn("secret", has_secrets(F.col("content"), 0.0))
+    kind = F.when(F.col("secret") & (F.col("phase") == 0), "credential").otherwise(F.col("kind"))
+    return rows.select("conv_id", "turn", kind.alias("kind"), "title", "content", "confidence", "importance", "tag", F.when(F.col("secret"), "secret").otherwise("private").alias("sensitivity"))
 
 
 def activity(turns: DataFrame, least: int = 6) -> DataFrame:
@@ -81,10 +104,15 @@ def route(confidence: Column, accept: float = 0.75) -> Column:
     return F.when(confidence >= accept, "active").otherwise("pending")
 
 
-def admit(content: Column, best: Column, force: Column, judge: bool = False, least: int = 24, screen: float = 0.88, certain: float = 0.97) -> Column:
-    """accept, review, merge or reject; best is the similarity of the nearest stored memory (null: none)."""
-    duplicate = F.coalesce(best, F.lit(0.0)) >= (screen if judge else certain)
-    return F.when(force, "accept").when(F.length(F.trim(content)) < least, "reject").when(duplicate, "merge").when(F.coalesce(best, F.lit(0.0)) >= screen, "review").otherwise("accept")
+def admit(content: Column, best: Column, force: Column, judge: bool = False, least: int = 24, screen: float = 0.88, certain: float = 0.97, worth: Column | None = None, queue: bool = True) -> Column:
+    """accept, review, merge or reject; best is the similarity of the nearest stored memory (null: none).
+
+    Without a judge only near certain twins merge and the rest is accepted. With one, best tells that the judge confirmed
+    a twin above the screen, and worth is its verdict on the content; what it turns down waits for review or is rejected.
+    """
+    twin = F.coalesce(best, F.lit(0.0)) >= (screen if judge else certain)
+    last = F.when(F.coalesce(worth, F.lit(True)), "accept").otherwise("review" if queue else "reject") if judge and worth is not None else F.lit("accept")
+    return F.when(force, "accept").when(F.length(F.trim(content)) < least, "reject").when(twin, "merge").otherwise(last)
 
 
 def normalized(raw: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

@@ -13,7 +13,7 @@ BLOCK = 2048
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """source < target and score of all pairs at or above the threshold; exact.
+    """source < target and score of all pairs at or above the threshold; exact. Null vectors and those of unlike length have no score.
 
     Vectors are dealt into blocks, and each pair of blocks is one group whose scores are a matrix product in numpy, so
     neither side is ever whole in one task. Scores near the threshold are computed again in plain double arithmetic.
@@ -21,12 +21,13 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    vectors = vectors.filter(F.col("embedding").isNotNull())
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
-    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = vectors.select("id", "embedding", F.size("embedding").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     everyone = F.sequence(F.lit(0), F.lit(blocks - 1))
     pairs = F.transform(everyone, lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
-    rows = dealt.withColumn("p", F.explode(F.array_distinct(pairs))).select("id", "embedding", "block", "p.i", "p.j")
+    rows = dealt.withColumn("p", F.explode(F.array_distinct(pairs))).select("id", "embedding", "dims", "block", "p.i", "p.j")
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["block"] == key[0]], part[part["block"] == key[1]]
@@ -39,7 +40,7 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
         one, two = one[keep], two[keep]
         return pd.DataFrame({"source": np.minimum(one, two), "target": np.maximum(one, two), "rough": score[a[keep], b[keep]]})
 
-    found = rows.groupBy("i", "j").applyInPandas(work, "source long, target long, rough double")
+    found = rows.groupBy("i", "j", "dims").applyInPandas(work, "source long, target long, rough double")
     a, b = vectors.select(F.col("id").alias("source"), F.col("embedding").alias("ea")), vectors.select(F.col("id").alias("target"), F.col("embedding").alias("eb"))
     exact = found.join(a, "source").join(b, "target").withColumn("score", dot("ea", "eb"))
     return exact.filter(F.col("score") >= threshold).select("source", "target", "score")

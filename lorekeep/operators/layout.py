@@ -192,7 +192,10 @@ def reel_in(points: DataFrame, far: float = 2.4, to: float = 2.0) -> DataFrame:
     """Points (cluster, node, x, y) further than `far` medians from their cluster's centre move to `to` medians."""
     centre = points.groupBy("cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     rows = points.join(centre, "cluster").withColumn("d", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-    middle = rows.groupBy("cluster").agg(F.percentile("d", 0.5).alias("median"))
+    order = W.partitionBy("cluster").orderBy("d", "node")
+    held = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("held"))
+    ranked = rows.select("cluster", "node", "d", F.row_number().over(order).alias("nth")).join(held, "cluster")
+    middle = ranked.filter(F.col("nth") == F.floor(F.col("held") / 2) + 1).select("cluster", F.col("d").alias("median"))  # the upper one of two
     rows = rows.join(middle, "cluster")
     k = F.when((F.col("median") > 0) & (F.col("d") > far * F.col("median")), to * F.col("median") / F.col("d")).otherwise(1.0)
     return rows.select("cluster", "node", (F.col("cx") + (F.col("x") - F.col("cx")) * k).alias("x"), (F.col("cy") + (F.col("y") - F.col("cy")) * k).alias("y"))

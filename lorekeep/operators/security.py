@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 @dataclass(frozen=True)
@@ -20,27 +19,34 @@ class Secret:
     confidence: float
 
 
-# Forms of well-known secrets.
-WORDS = "password|passwd|pwd|passphrase|密码|口令"
-TOKENS = "api[_-]?key|access[_-]?key|secret|token"
+# Forms of well-known secrets, what may stand between a key word and its value, and values that are none.
+BEFORE = r"(?<![A-Za-z0-9_])"
+BETWEEN = r"\s*\**\s*[=:：]?\s*\**\s*[\"'`「]?"
+#: The same, giving nothing back: what stands between is never taken for a part of the value.
+BETWEEN_ONLY = r"\s*+\**+\s*+[=:：]?+\s*+\**+\s*+[\"'`「]?+"
+PASSWORDS, PASSWORD = "password|passwd|pwd|密码|口令|登录密码", r"[^\s'\"`，,;|）)】\]>*]"
+TOKENS, TOKEN = "api[_-]?key|apikey|secret|token|access[_-]?key|密钥|令牌", "[A-Za-z0-9_./+=-]"
 RULES = (
-    Secret("private-key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\z)", 0, 1.0),
+    Secret("private-key", r"-----BEGIN\s+(?:[A-Z]+\s+)*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\z)", 0, 1.0),
     Secret("certificate", r"-----BEGIN CERTIFICATE-----[\s\S]*?(?:-----END CERTIFICATE-----|\z)", 0, 0.8),
-    Secret("ssh", r"\bssh-(?:rsa|dss|ed25519) AAAA[A-Za-z0-9+/=]{20,}", 0, 0.9),
-    Secret("api-key", r"\bsk-[A-Za-z0-9_-]{20,}", 0, 1.0),
-    Secret("api-key", r"\bAIza[A-Za-z0-9_-]{32,}", 0, 0.95),
+    Secret("ssh", r"\bssh-(?:rsa|ed25519|dss)\s+AAAA[0-9A-Za-z+/=]{20,}", 0, 0.9),
+    Secret("api-key", r"\bsk-ant-[A-Za-z0-9_-]{20,}", 0, 1.0),
+    Secret("api-key", r"\bsk-[A-Za-z0-9]{32,}", 0, 0.95),
     Secret("api-key", r"\bgh[pousr]_[A-Za-z0-9]{30,}", 0, 1.0),
     Secret("api-key", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0.95),
     Secret("aws", r"\bAKIA[0-9A-Z]{16}\b", 0, 1.0),
-    Secret("aws", r"(?i)aws_secret_access_key\s*[=:]\s*[\"']?([A-Za-z0-9/+=]{40})", 1, 1.0),
-    Secret("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0.85),
-    Secret("connection-string", r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|mssql)://[^\s:/@]+:([^\s@]+)@", 1, 0.95),
-    Secret("password", rf"(?i)(?:{WORDS})[\"'`*]*\s*(?:[:=：]|是)\s*[\"'`*]*([^\s\"'`*]{{6,}})", 1, 0.7),
-    Secret("token", rf"(?i)(?:{TOKENS})[\"'`*]*\s*[:=：]\s*[\"'`*]*([A-Za-z0-9_./+=-]{{16,}})", 1, 0.75),
-    Secret("ssh", r"\bsshpass\s+-p\s*[\"']?([^\s\"']+)", 1, 0.9),
-    Secret("token", r"\b[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|KEY|PASSWORD)\s*=\s*[\"']?([^\s\"']{8,})", 1, 0.9),
+    Secret("aws", r"(?i)\baws_secret_access_key\s*[=:]\s*[\"']?([A-Za-z0-9/+=]{40})", 1, 1.0),
+    Secret("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0.85),
+    Secret("connection-string", r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqp)://[^\s:@/]+:([^\s@/]+)@", 1, 0.95),
+    Secret("password", rf"(?i){BEFORE}(?:{PASSWORDS}){BETWEEN}({PASSWORD}{{6,}})", 1, 0.7),
+    Secret("token", rf"(?i){BEFORE}(?:{TOKENS}){BETWEEN}({TOKEN}{{16,}})", 1, 0.75),
+    Secret("ssh", r"\bsshpass\s+-p\s*(\S+)", 1, 0.9),
+    Secret("token", r"\b[A-Z][A-Z0-9_]*_(?:SECRET|TOKEN|KEY|PASSWORD|PASSWD|CREDENTIAL)\s*=\s*[\"']?([^\s\"'`,;]{8,})", 1, 0.9),
 )
-PLACEHOLDER = r"(?i)^[\"'`<\[{($]*(?:x{3,}|\*{3,}|\.{3,}|your[_-].*|example.*|placeholder.*|changeme|redacted.*|process\.env.*|env\..*|\$\{.*)"
+NO_SECRET = r"x{3,}|\*{3,}|\$\{[^}]+\}?|<[^>]*>?|your[_-]?\w+|placeholder|example|changeme|todo|redacted|null|none|test"
+OPENS, CLOSES = r"[<'\"`「（(\[{]*", r"[>'\"`」）)\]}]*"
+#: A whole value that is a placeholder, whatever brackets or quotes are around it.
+PLACEHOLDER = rf"(?i)^{OPENS}(?:{NO_SECRET}){CLOSES}$"
 
 
 def hits(text: Column) -> Column:
@@ -67,9 +73,12 @@ def has_secrets(text: Column, least: float = 0.7) -> Column:
 
 
 def redact(text: Column, least: float = 0.0) -> Column:
-    """Every secret's value becomes a tagged mask, rule after rule; placeholders stay."""
+    """Every secret's value becomes a tagged mask, rule after rule; placeholders and what stands around a value stay.
+
+    A value is a placeholder only as a whole: the guard before it looks up to where the value's own characters end. A mask
+    itself is never taken for a value.
+    """
     out = text
-    guard = r"(?![\"'`<\[{($]*(?:[xX]{3,}|\*{3,}|\.{3,}|(?i:your[_-]|example|placeholder|changeme|\[?redacted|process\.env|env\.)|\$\{))"
     for r in RULES:
         if r.confidence < least:
             continue
@@ -80,7 +89,11 @@ def redact(text: Column, least: float = 0.0) -> Column:
             at = value_at(r.pattern)
             flag, rest = ("(?i)", r.pattern[4:at]) if r.pattern.startswith("(?i)") else ("", r.pattern[:at])
             end = closing(r.pattern, at)
-            out = F.regexp_replace(out, f"{flag}({rest}){guard}{r.pattern[at : end + 1].replace('(', '(?:', 1)}({r.pattern[end + 1 :]})", f"$1{mask}$2")
+            inside = r.pattern[at + 1 : end]
+            letter = inside[: inside.rindex("{")] if inside.endswith("}") else inside.rstrip("+")
+            guard = rf"(?!{OPENS}(?i:{NO_SECRET}){CLOSES}(?!{letter}))(?!\[redacted:)"
+            rest = rest.replace(BETWEEN, BETWEEN_ONLY)
+            out = F.regexp_replace(out, f"{flag}({rest}){guard}(?:{inside})({r.pattern[end + 1 :]})", f"$1{mask}$2")
     return out
 
 
@@ -106,9 +119,39 @@ def closing(pattern: str, at: int) -> int:
     raise ValueError(pattern)
 
 
+def scrubbed(value: Column, kind: DataType) -> Column:
+    """A value of any type with every string in it redacted, however deep it lies."""
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, ArrayType) and holds_text(kind):
+        return F.transform(value, lambda x: scrubbed(x, kind.elementType))
+    if isinstance(kind, MapType) and holds_text(kind):
+        return F.transform_values(value, lambda _, x: scrubbed(x, kind.valueType))
+    if isinstance(kind, StructType) and holds_text(kind):
+        return F.when(value.isNotNull(), F.struct(*[scrubbed(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
+def holds_text(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(holds_text(f.dataType) for f in kind)
+    inner = kind.elementType if isinstance(kind, ArrayType) else kind.valueType if isinstance(kind, MapType) else None
+    return isinstance(kind, StringType) or inner is not None and holds_text(inner)
+
+
 def scrub(rows: DataFrame) -> DataFrame:
-    """Redacts every string column."""
-    return rows.select(*[redact(F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in rows.schema])
+    """Redacts every string of every column, also inside arrays, structs and the values of maps."""
+    return rows.select(*[scrubbed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema])
+
+
+def sql_hits() -> str:
+    """id, rule, kind, confidence, value of all rules as SQL over documents, for engines without look-behind."""
+    quoted = lambda x: x.replace("'", "''")
+    parts = [
+        f"SELECT doc_id AS id, {i} AS rule, '{r.kind}' AS kind, {r.confidence} AS confidence, unnest(regexp_extract_all(text, '{quoted(r.pattern.replace(BEFORE, '(?:^|[^A-Za-z0-9_])'))}', {r.group})) AS value FROM documents"
+        for i, r in enumerate(RULES)
+    ]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE NOT regexp_matches(value, '{quoted(PLACEHOLDER)}')"
 
 
 def enforce(rows: DataFrame, column: str = "content", strong: float = 0.75) -> DataFrame:
@@ -131,7 +174,3 @@ def derive_key(passphrase: str, salt: bytes, n: int = 1 << 15) -> str:
     import hashlib
 
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=n, r=8, p=1, dklen=32, maxmem=1 << 27).hex()
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))

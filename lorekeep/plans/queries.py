@@ -456,14 +456,17 @@ def recall_counters(s: Store) -> DataFrame:
     return mutations.count_events(ids, log).select("id", "seen", "last_seen")
 
 
-@query(r"""SELECT doc_id AS id, 'token' AS kind, regexp_extract(m, '([A-Za-z0-9_./+=-]{16,})$', 1) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:api[_-]?key|access[_-]?key|secret|token)["''`*]*\s*[:=：]\s*["''`*]*[A-Za-z0-9_./+=-]{16,}')) AS m FROM documents)""")
+HITS = security.sql_hits()
+
+
+@query(f"SELECT id, kind, value FROM ({HITS}) WHERE rule = 12")
 def secrets_detect(s: Store) -> DataFrame:
     return security.detect(s.documents()).filter("rule = 12").select("id", "kind", "value")
 
 
-@query()
+@query(f"SELECT id, rule, kind, value FROM ({HITS})")
 def secrets_detect_all(s: Store) -> DataFrame:
-    """All rules; secrets_detect is the one whose SQL is simple."""
+    """All rules; secrets_detect is one of them."""
     return security.detect(s.documents()).select("id", "rule", "kind", "value")
 
 
@@ -473,7 +476,7 @@ def secrets_redact(s: Store) -> DataFrame:
     return docs.select("id", security.redact(F.col("content")).alias("content"))
 
 
-@query()
+@query(f"SELECT CASE WHEN doc_id IN (SELECT id FROM ({HITS}) WHERE confidence >= 0.75) THEN 'secret' ELSE 'public' END AS sensitivity, count(*) AS n FROM documents GROUP BY 1")
 def sensitivity_enforce(s: Store) -> DataFrame:
     docs = s.documents().select("id", F.lit("note").alias("kind"), F.lit("public").alias("sensitivity"), "content")
     return security.enforce(docs).groupBy("sensitivity").agg(F.count(F.lit(1)).alias("n"))
@@ -489,7 +492,7 @@ def session_activity(s: Store) -> DataFrame:
     return extraction.activity(s.turns())
 
 
-@query(r"SELECT conv_id, turn, length(text) > 900 AND regexp_matches(text, '(?m)^#{1,6}\s') AND (len(regexp_extract_all(text, '(?m)^```')) >= 2 OR regexp_matches(text, '(?mi)^#{1,6}\s*(task|goal|requirements|context|acceptance)')) AS brief FROM conversations")
+@query(rf"SELECT conv_id, turn, length(text) > 900 OR regexp_matches(text, '(?m)^#{{1,3}}\s') OR len(regexp_extract_all(text, '```')) >= 2 OR regexp_matches(text, '{extraction.BRIEF_HEADING}') AS brief FROM conversations")
 def task_brief_flag(s: Store) -> DataFrame:
     return s.turns().select("conv_id", "turn", extraction.task_brief(F.col("text")).alias("brief"))
 
@@ -552,7 +555,10 @@ def activity_windows(s: Store) -> DataFrame:
     return windows(s.table("events")).select("event_type", F.to_date("start").alias("day"), "n")
 
 
-@query()
+@query("""WITH p AS (SELECT CAST(label AS BIGINT) AS cluster, vec_id AS node, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), c AS (SELECT *, avg(x) OVER (PARTITION BY cluster) AS cx, avg(y) OVER (PARTITION BY cluster) AS cy FROM p),
+d AS (SELECT *, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, node) AS nth, count(*) OVER (PARTITION BY cluster) AS held FROM d),
+m AS (SELECT cluster, d AS median FROM n WHERE nth = held // 2 + 1), k AS (SELECT d.*, CASE WHEN median > 0 AND d > 1.5 * median THEN 1.2 * median / d ELSE 1.0 END AS k FROM d JOIN m USING (cluster))
+SELECT cluster, node, round(cx + (x - cx) * k, 6) AS x, round(cy + (y - cy) * k, 6) AS y FROM k""")
 def layout_reeled_in(s: Store) -> DataFrame:
     points = s.vectors().select(F.col("label").cast("long").alias("cluster"), F.col("id").alias("node"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return rounded(layout.reel_in(points, 1.5, 1.2), "x", "y")

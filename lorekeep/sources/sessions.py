@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 MESSAGE = ["agent", "session", "path", "seq", "role", "text", "at", "cwd", "branch", "model"]
 #: Messages that a tool put in, not the user.
-INJECTED = r"(?s)^\s*(<(system-reminder|command-[a-z]+|local-command-[a-z]+|environment_context|user_instructions)\b|Caveat: |\[Request interrupted)"
+INJECTED = (
+    r"(?s)^\s*(?:<system-reminder>|<environment_context>|<user_instructions>|<(?i:INSTRUCTIONS)>|#\s*(?i:AGENTS\.md instructions)|#\s*(?i:CLAUDE\.md)"
+    r"|Caveat:|<command-name>|<local-command-stdout>|\[Request interrupted|<budget_status>)"
+)
 
 
 def read_lines(spark: SparkSession, root: str, since: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -21,7 +24,7 @@ def read_lines(spark: SparkSession, root: str, since: str | None = None, exclude
         reader = reader.option("modifiedAfter", since)
     rows = reader.text(root, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
-        (F.col("_metadata.file_block_start") * 4294967296 + F.monotonically_increasing_id()).alias("seq"), F.col("value").alias("line"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"), F.col("value").alias("line"),
     )
     for prefix in exclude:
         rows = rows.filter(~F.contains("path", F.lit(prefix)))
@@ -104,7 +107,7 @@ def database_log(spark: SparkSession, sessions: DataFrame, messages: DataFrame,
     texts = parts.groupBy("message_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "text"))), lambda p: p["text"]), "\n").alias("text"))
     live = sessions.filter(F.col("time_archived").isNull()).select(F.col("id").alias("session"), F.col("directory").alias("cwd"))
     rows = messages.join(texts, messages["id"] == texts["message_id"], "left").join(live, messages["session_id"] == live["session"])
-    rows = rows.select(F.lit(agent).alias("agent"), "session", F.lit(None).cast("string").alias("path"), F.col("time_created").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("text"), F.timestamp_millis("time_created").alias("at"), "cwd", F.lit(None).cast("string").alias("branch"), "model")
+    rows = rows.select(F.lit(agent).alias("agent"), "session", F.lit(None).cast("string").alias("path"), F.struct(F.col("time_created").cast("long").alias("block"), F.lit(0).cast("long").alias("row")).alias("seq"), "role", F.coalesce("text", F.lit("")).alias("text"), F.timestamp_millis("time_created").alias("at"), "cwd", F.lit(None).cast("string").alias("branch"), "model")
     return real(rows)
 
 
