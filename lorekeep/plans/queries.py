@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, extraction, filters, graph, layout, mutations, search, security, stats
+from ..operators import documents, extraction, filters, graph, layout, mutations, search, security, stats, writes
 from ..operators.filters import ListFilter
 from ..session import ship
 from ..sources.views import NOW_MS, SEMANTIC, Store, with_views
@@ -602,3 +602,114 @@ def source_counts(s: Store) -> DataFrame:
 def memory_entities(s: Store) -> DataFrame:
     named = s.links().groupBy(F.col("memory").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("entity")), lambda x: x.cast("string")), ",").alias("entities"))
     return named.join(s.memories().select("id", "kind"), "id")
+
+
+@query("""SELECT event_id + 10000000 AS id, CASE WHEN event_id % 200 = 0 THEN 'credential' WHEN event_id % 300 = 0 THEN 'fact' ELSE event_type END AS kind, CASE WHEN event_id % 200 = 0 THEN 'secret' WHEN event_id % 700 = 0 THEN 'public' ELSE 'private' END AS sensitivity,
+'active' AS status, CAST(0.5 AS DOUBLE) AS importance, sha256('body ' || event_id) AS content_hash FROM events WHERE event_id % 100 = 0""")
+def memory_insert(s: Store) -> DataFrame:
+    old = s.memories()
+    kind = F.when(F.col("id") % 200 == 0, "credential").when(F.col("id") % 300 != 0, F.col("kind"))
+    new = old.filter("id % 100 = 0").select(
+        (F.col("id") + 10_000_000).alias("id"), kind.alias("kind"), F.concat_ws(" ", F.lit(" body"), F.col("id").cast("string"), F.lit("")).alias("content"), F.when(F.col("id") % 700 == 0, "public").alias("sensitivity")
+    )
+    again = new.withColumn("id", F.col("id") - 10_000_000)  # ids that are there already
+    rows = writes.insert(old, new.unionByName(again))
+    return rows.filter("content_hash IS NOT NULL").select("id", "kind", "sensitivity", "status", "importance", "content_hash")
+
+
+@query(f"{MEM} SELECT id, CASE WHEN id % 30 = 0 THEN 'credential' ELSE kind END AS kind, CASE WHEN id % 30 = 0 THEN 'secret' ELSE sensitivity END AS sensitivity, CASE WHEN id % 15 = 0 THEN 'changed ' || id ELSE title END AS title, importance FROM mem")
+def memory_update(s: Store) -> DataFrame:
+    patch = s.memories().filter("id % 15 = 0").select("id", F.when(F.col("id") % 30 == 0, "credential").alias("kind"), F.concat_ws(" ", F.lit("changed"), F.col("id").cast("string")).alias("title"), F.lit(None).cast("double").alias("importance"))
+    return writes.update(s.memories(), patch.unionByName(patch)).select("id", "kind", "sensitivity", "title", "importance")
+
+
+@query(f"{MEM}, m AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'archived' WHEN id % 4 = 0 AND status = 'pending' THEN 'active' ELSE status END AS now, CASE WHEN id % 6 = 0 THEN true ELSE pinned END AS held FROM mem) SELECT now AS status, held AS pinned, count(*) AS n FROM m GROUP BY 1, 2")
+def bulk_actions(s: Store) -> DataFrame:
+    rows = writes.bulk(s.memories(), s.memories().filter("id % 4 = 0 AND status = 'pending'"), "accept")
+    rows = writes.bulk(rows, s.memories().filter("id % 9 = 0"), "archive")
+    rows = writes.bulk(rows, s.memories().filter("id % 6 = 0"), "pin")
+    return rows.groupBy("status", "pinned").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{MEM} SELECT id, 'archive' AS action, created AS happened FROM mem WHERE status = 'archived' ORDER BY created DESC, id LIMIT 100")
+def audit_recent(s: Store) -> DataFrame:
+    log = s.memories().limit(0).select("id", F.lit("none").alias("action"), F.col("created").alias("at"))
+    gone = s.memories().filter("status = 'archived'")
+    return writes.recent_audit(log.unionByName(gone.select("id", F.lit("archive").alias("action"), F.col("created").alias("at")))).withColumnRenamed("at", "happened")
+
+
+@query(f"""{with_views('lnk')}, e AS (SELECT CASE WHEN entity = 2 THEN 1 ELSE entity END AS entity, mentions, entity = 2 AS other FROM men) SELECT entity, 'e' || entity AS name, CASE WHEN entity = 1 AND bool_or(other) THEN 'a1,a2,e2' ELSE 'a' || entity END AS aliases, CAST(sum(mentions) AS BIGINT) AS mentions FROM e GROUP BY entity""")
+def entity_merge_whole(s: Store) -> DataFrame:
+    name = F.col("entity").cast("string")
+    entities = s.mentions().select("entity", F.concat(F.lit("e"), name).alias("name"), F.array(F.concat(F.lit("a"), name)).alias("aliases"), "mentions")
+    merged, _ = writes.merge_entities(entities, s.links(), 2, 1)
+    return merged.select("entity", "name", F.array_join("aliases", ",").alias("aliases"), "mentions")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN '/moved' ELSE '/data/' || s_nationkey || '/' || s_suppkey END AS path FROM supplier WHERE s_suppkey <> 5 UNION ALL SELECT 1000001, '/new'")
+def source_changes(s: Store) -> DataFrame:
+    old = s.table("supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.concat_ws("/", F.lit("/data"), F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("path"))
+    new = s.spark.sql("SELECT * FROM VALUES (1000001L, '/new'), (1000002L, '/new') AS t(id, path)").dropDuplicates(["path"]).withColumn("id", F.lit(1_000_001).cast("long"))
+    rows = writes.relocate_source(writes.add_sources(writes.add_sources(old, new), new.withColumn("id", F.lit(7).cast("long"))), 3, "/moved")
+    return writes.remove_source({"sources": rows, "documents": s.table("part").select(F.lit(5).alias("source"), F.col("p_partkey").alias("id")), "chunks": s.table("part").select(F.col("p_partkey").alias("doc"))}, 5)["sources"]
+
+
+@query(f"{with_views('conv')}, p AS (SELECT *, CASE WHEN id % 3 = 0 THEN ended WHEN id % 3 = 1 THEN ended - INTERVAL 1 HOUR END AS processed FROM conv) SELECT id, processed IS NOT NULL AND processed >= ended AS done FROM p")
+def sessions_processed(s: Store) -> DataFrame:
+    rows = s.conversations().withColumn("processed", F.when(F.col("id") % 3 == 0, F.col("ended")).when(F.col("id") % 3 == 1, F.expr("ended - INTERVAL 1 HOUR")))
+    return rows.select("id", writes.processed(rows).alias("done"))
+
+
+@query(f"{with_views('vec', 'edge')} SELECT source, target, kind, round(weight, 6) AS weight FROM edge WHERE kind IN ('tag', 'entity')")
+def edges_of_kinds(s: Store) -> DataFrame:
+    return rounded(s.edges().filter(F.col("kind").isin("tag", "entity")), "weight")
+
+
+@query(f"{MEM} SELECT place, id, title FROM mem JOIN (VALUES (0, 7), (1, 3), (3, 5)) AS w(place, wanted) ON id = wanted")
+def ordered_ids(s: Store) -> DataFrame:
+    return writes.ordered_lookup(s.memories(), [7, 3, -1, 5]).select("place", "id", "title")
+
+
+@query(f"{MEM} SELECT id, round(least(1.0, greatest(0.2, importance + CASE WHEN pinned THEN 0.15 ELSE 0 END)), 6) AS size FROM mem WHERE status = 'active'")
+def node_sizes(s: Store) -> DataFrame:
+    rows = s.memories().filter("status = 'active'")
+    return rounded(rows.select("id", writes.node_size(F.col("importance"), F.col("pinned")).alias("size")), "size")
+
+
+@query(f"{MEM} SELECT id, kind, project, created FROM mem WHERE status IN ('active', 'pending') AND sensitivity <> 'secret' AND kind IN ('view', 'purchase') AND project IN ('p1', 'p2') AND agent = 'a1' AND created >= TIMESTAMP '2024-01-03' AND created <= TIMESTAMP '2024-01-28' AND ({TAGGED.format('user/u1')} OR {TAGGED.format('purchase')})")
+def recall_candidates(s: Store) -> DataFrame:
+    found = writes.candidates(s.memories(), kinds=("view", "purchase"), tags=("User/u1", "purchase"), projects=("p1", "p2"), agents=("a1",), since="2024-01-03", until="2024-01-28", pending=True)
+    return found.select("id", "kind", "project", "created")
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list_reverse_sort(list(turn))[1:3]), ',') AS turns FROM conversations GROUP BY conv_id")
+def session_provenance(s: Store) -> DataFrame:
+    return writes.last_messages(s.turns())
+
+
+@query(f"{MEM} SELECT id, array_to_string(tags, ',') AS tags FROM mem")
+def tags_cleaned(s: Store) -> DataFrame:
+    messy = F.concat(F.transform("tags", lambda t: F.concat(F.lit(" "), F.upper(t))), F.col("tags"), F.array(F.lit("  ")))
+    return s.memories().select("id", F.array_join(writes.clean_tags(messy), ",").alias("tags"))
+
+
+@query(r"SELECT doc_id AS id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS prepared FROM documents")
+def text_prepared(s: Store) -> DataFrame:
+    return s.documents().select("id", F.sha2(writes.prepare_text(F.col("content")).cast("binary"), 256).alias("prepared"))
+
+
+BOARD = " UNION ALL ".join(f"SELECT '{c}' AS section, {c} AS name, count(*) AS n FROM mem GROUP BY {c}" for c in ("kind", "status", "sensitivity", "project", "agent"))
+
+
+@query(f"""{MEM}, r AS (SELECT title, id FROM mem ORDER BY created DESC, id LIMIT 8), q AS (SELECT title, id FROM mem WHERE status = 'pending' ORDER BY created DESC, id LIMIT 6), t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM mem WHERE status = 'active') GROUP BY tag ORDER BY n DESC, tag LIMIT 24)
+{BOARD} UNION ALL SELECT 'recent', title, id FROM r UNION ALL SELECT 'pending', title, id FROM q UNION ALL SELECT 'tag', tag, n FROM t UNION ALL SELECT 'day', '2024-01-10', count(*) FROM mem WHERE CAST(created AS DATE) = DATE '2024-01-10'""")
+def dashboard(s: Store) -> DataFrame:
+    return writes.dashboard(s.memories(), "2024-01-10")
+
+
+@query("SELECT source, doc_id AS id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS nth FROM documents) WHERE nth <= 3")
+def recent_documents(s: Store) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    nth = F.row_number().over(W.partitionBy("source").orderBy(F.desc("id")))
+    return s.documents().select("source", "id", nth.alias("nth")).filter("nth <= 3").drop("nth")

@@ -64,16 +64,24 @@ class Store:
         )
 
     def edges(self, threshold: float = SEMANTIC) -> DataFrame:
-        """Semantic edges above the threshold, and tag edges between neighbours of one label."""
+        """Semantic edges above the threshold, and tag edges between neighbours of one label.
+
+        The similarity join runs once for an application; all questions about edges read its stored table.
+        """
         from ..operators.graph import similar_pairs
 
         v = self.vectors()
-        semantic = stored(similar_pairs(v, threshold), "semantic-edges").select("source", "target", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
+        key = (self.spark.sparkContext.applicationId, self.folder, threshold)
+        if key not in SEMANTIC_TABLES:
+            SEMANTIC_TABLES[key] = stored(similar_pairs(v, threshold), "semantic-edges")
+        semantic = SEMANTIC_TABLES[key].select("source", "target", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
         a, b = v.select(F.col("id").alias("source"), "label"), v.select(F.col("id").alias("target"), F.col("label").alias("other"))
         tag = a.join(b, (F.col("target") == F.col("source") + 1) & (F.col("label") == F.col("other"))).select("source", "target", F.lit("tag").alias("kind"), F.lit(0.4).alias("weight"))
         return semantic.unionByName(tag)
 
 
+#: Stored similarity joins by application, folder and threshold.
+SEMANTIC_TABLES: dict[tuple, DataFrame] = {}
 #: The same views as SQL, to be put after WITH.
 SQL = {
     "mem": """mem AS (SELECT event_id AS id, event_type AS kind, event_type || ' ' || event_id AS title, 'p' || (user_id % 12) AS project, 'a' || (user_id % 4) AS agent,
