@@ -302,21 +302,6 @@ def test_clashing_columns_pass_through(spark):
         assert {(r["doc_id"], *(r[n] for n in names)) for r in out.collect()} == want
 
 
-def test_bitmap_bound_loses_no_similar_pair(spark):
-    import random
-
-    rng = random.Random(11)
-    words = [f"word{i}" for i in range(60)]
-    lines = [" ".join(words[i % 60] if rng.random() > rng.choice((0.0, 0.05, 0.2)) else f"x{rng.random()}" for i in range(rng.choice((6, 30, 60, 400)))) for _ in range(80)]
-    sets = spark.createDataFrame(list(enumerate(lines)), "lh long, line string").select("lh", line_dedup.shingles("line").alias("shingles"))
-    bits = line_dedup.bitmaps(sets)
-    other = bits.select(*[F.col(c).alias("other" if c == "lh" else f"other_{c}") for c in bits.columns])
-    passed = {tuple(r) for r in bits.crossJoin(other).filter(line_dedup.may_be_similar()).select("lh", "other").collect()}
-    held = {r["lh"]: set(r["shingles"]) for r in sets.collect()}
-    similar = {(a, b) for a in held for b in held if 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))}
-    assert similar <= passed and len(passed) < len(held) ** 2
-
-
 def test_license_lines_equal_brute_force(spark, sf):
     frame = spark.read.parquet(f"{sf}/documents.parquet")
     model = license_scan.fit(frame)
