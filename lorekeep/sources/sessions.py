@@ -17,8 +17,8 @@ INJECTED = (
 )
 
 
-def read_lines(spark: SparkSession, root: str, since: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path, modified, seq, line of all .jsonl files below root, blank lines left out."""
+def raw_lines(spark: SparkSession, root: str, since: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, modified, seq, line of all .jsonl files below root (changed after since)."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if since:
         reader = reader.option("modifiedAfter", since)
@@ -28,7 +28,12 @@ def read_lines(spark: SparkSession, root: str, since: str | None = None, exclude
     )
     for prefix in exclude:
         rows = rows.filter(~F.contains("path", F.lit(prefix)))
-    return rows.filter(F.trim("line") != "")
+    return rows
+
+
+def read_lines(spark: SparkSession, root: str, since: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Raw lines without the blank ones."""
+    return raw_lines(spark, root, since, exclude).filter(F.trim("line") != "")
 
 
 def parsed(lines: DataFrame) -> DataFrame:

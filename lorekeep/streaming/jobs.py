@@ -32,9 +32,12 @@ def register_sessions(lines: DataFrame, adapter: Callable[[DataFrame], DataFrame
         new = sessions_of(adapter(numbered)).withColumn("version", F.lit(epoch).cast("long"))
         before = latest(spark, target, epoch)
         if before is not None:
-            sums = before.select("agent", "session", F.col("messages").alias("had"), F.col("started").alias("began"))
-            new = new.join(sums, ["agent", "session"], "left")
-            new = new.withColumns({"messages": F.col("messages") + F.coalesce("had", F.lit(0)), "started": F.least("started", "began")}).drop("had", "began")
+            told = ["messages", "started", "title", "cwd", "branch", "model"]
+            known = before.select("agent", "session", *[F.col(c).alias(f"known_{c}") for c in told])
+            new = new.join(known, ["agent", "session"], "left")
+            merged = {c: F.coalesce(c, f"known_{c}") for c in ("cwd", "branch", "model")}  # a later part of a log need not repeat them
+            merged |= {"messages": F.col("messages") + F.coalesce("known_messages", F.lit(0)), "started": F.least("started", "known_started"), "title": F.coalesce("known_title", "title")}
+            new = new.withColumns(merged).drop(*[f"known_{c}" for c in told])
             new = upsert(before, new, ["agent", "session"], "version")
         new.write.mode("overwrite").parquet(f"{target}/version={epoch:012d}")
 
