@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, importance, license_scan, line_dedup, lm_scoring, packing, quality_rules, simhash, token_counts, url_filters
+from . import (
+    conversation_repair, decontaminate, filter_audit, html_extraction, importance, license_scan, line_dedup, lm_scoring, packing, quality_rules, simhash, token_counts,
+    url_filters,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +79,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audits(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_quality_classifier, op3_token_counts, op4_line_dedup, op5_quality_rules, op6_lm_scoring, op7_simhash,
-        op8_url_filters, op9_decontamination, op10_license_scan, quality_ablations,
+        op8_url_filters, op9_decontamination, op10_license_scan, op11_filter_audit, op12_html_extraction, op13_conversation_repair, quality_ablations,
     )
 }
 
@@ -125,6 +140,29 @@ hit AS (SELECT rid, rule_host || rule_path AS rule, r.verdict, row_number() OVER
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM hit WHERE nth = 1) USING (rid)
 """,
 }
+SQL["op11_filter_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (SELECT part, doc_id, len(w) < 100 AS "A", 100 * len(list_distinct(w)) < 80 * len(w) AS "B",
+  100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x) AS "C", regexp_matches(x, '[#$%&*|]') AS "D", coalesce(least < doc_id, false) AS "E",
+  EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id AND toxic = 1) AS toxic FROM d),
+masks AS (SELECT part, concat(CASE WHEN "A" THEN 'A' ELSE '' END, CASE WHEN "B" THEN 'B' ELSE '' END, CASE WHEN "C" THEN 'C' ELSE '' END, CASE WHEN "D" THEN 'D' ELSE '' END,
+  CASE WHEN "E" THEN 'E' ELSE '' END) AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
+  sum(CASE WHEN contains(fails, substr(filter_order, step, 1)) AND translate(fails, substr(filter_order, 1, step - 1), '') = fails THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN contains(fails, substr(filter_order, step, 1)) AND translate(fails, substr(filter_order, 1, step - 1), '') = fails THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN contains(fails, substr(filter_order, step, 1)) AND translate(fails, substr(filter_order, 1, step - 1), '') = fails THEN toxic ELSE 0 END) AS toxic_lost,
+  sum(CASE WHEN translate(fails, substr(filter_order, 1, step), '') = fails THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS failing,
+  sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(failing - removed AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s
+"""
 LEDGER = SQL["op5_quality_rules"].rpartition("SELECT doc_id")[0].rstrip()
 SQL["quality_ablations"] = LEDGER + """,
 p(policy, version, mask) AS (VALUES ('base', 1, 3), ('web', 1, 127), ('web', 2, 255), ('web', 3, 251)),
