@@ -178,6 +178,8 @@ def test_line_dedup_large_buckets(spark, monkeypatch):
     found = left()
     # at the edge of similarity a bucket is compared with a few of its lines only: nothing is removed wrongly, few links are missed
     assert set(want) <= set(found) and len(found) - len(want) <= 0.05 * len(lines)
+    exact = sorted(r["doc_id"] for r in line_dedup.dedup_lines(frame, exact=True).collect() if r["text"])
+    assert set(want) <= set(exact) <= set(found) and len(exact) - len(want) <= 0.02 * len(lines)
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     assert left() == found
 
@@ -216,6 +218,59 @@ def test_line_dedup_every_position(spark):
     assert {r["text"] for r in rows if r["text"]} == {min(g, key=lines.index) for g in groups}
 
 
+def test_line_dedup_repeated_phrases(spark):
+    """Lines of equal shingle sets are linked whatever their lengths."""
+    import random
+
+    rng = random.Random(6)
+    lines = []
+    for n in (3, 30, 40, 60, 77, 90, 100, 120):
+        phrase = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+        lines += [(phrase * 200)[:size] for size in (40 + 2 * n, 220 + n, 480, 3000, 70_000)]
+    want = sorted(min(map(lines.index, g)) for g in brute_groups(lines))
+    assert len(want) == 8
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect() if r["text"]) == want
+
+
+def test_line_dedup_very_long_lines(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(330_000))
+    lines = [long, long[:1_500_000] + "another end of this line", long[::-1], long[: len(long) // 3]]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect() if r["text"]) == sorted(min(map(lines.index, g)) for g in brute_groups(lines))
+
+
+@pytest.mark.parametrize(("least", "most"), [(1, 15), (16, 60), (61, 250), (251, 500), (501, 5000)])
+def test_line_dedup_recall_by_length(spark, least, most):
+    """Of all similar pairs of different lines, against all pairs, at least 97 in a hundred end in one group."""
+    import random
+
+    rng = random.Random(least)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    lines = []
+    while len(lines) < 400:
+        base = ""
+        while len(base) < least or (len(base) < most and rng.random() < 0.9):
+            base += rng.choice(words) + " "
+        for _ in range(4):
+            line = list(base[:most].rstrip() or "x")
+            for _ in range(rng.randrange(1, 2 + len(line) // 60)):
+                i = rng.randrange(len(line)) if most > 60 else len(line)
+                line[i : i + rng.randrange(3)] = rng.choice(words)[: rng.randrange(1, 4) if most > 60 else 1]
+            lines.append("".join(line))
+    lines = list(dict.fromkeys(x for x in lines if x.strip()))
+    groups = brute_groups(lines)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    left = {r["doc_id"] for r in got.collect() if r["text"]}
+    want = {min(map(lines.index, g)) for g in groups}
+    links = sum(len(g) - 1 for g in groups)
+    assert links >= 50 and want <= left and len(left) - len(want) <= 0.03 * links
+
+
 def test_line_dedup_documents_every_position(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120).select("doc_id", "text")
     lines = list(dict.fromkeys(x for r in docs.collect() for x in (r["text"] or "").split("\n") if x.strip()))
