@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import logistic_rank, recency, reciprocal_rank, weight_importance
 from ..functions.vectors import dot
+from ..session import stored
+from .postings import Postings
+from .writes import candidates
 
 
 def phrases(query: str) -> list[str]:
@@ -30,13 +33,14 @@ def occurrences(column: str, phrase: str) -> Column:
 def bm25(rows: DataFrame, terms: list[str], columns: list[str], keep: list[str]) -> DataFrame:
     """keep and rank (negative is better) of the rows in which a phrase occurs.
 
-    The corpus statistics are one small row, found in one pass with the counts of every phrase and joined back.
+    Texts are read once: the counts of every row (no text) are stored, and the corpus statistics and the hits come from
+    that table. Postings.bm25 finds the same ranks without reading texts at all.
     """
     length = reduce(lambda a, b: a + b, [F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in columns])
     tf = [reduce(lambda a, b: a + b, [occurrences(c, t) for c in columns]).alias(f"f{i}") for i, t in enumerate(terms)]
     if not terms:
         return rows.select(*keep, F.lit(0.0).alias("rank")).limit(0)
-    counted = rows.select(*keep, length.alias("len"), *tf)
+    counted = stored(rows.select(*keep, length.alias("len"), *tf), "phrase-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     joined = counted.filter(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))
     rank = F.lit(0.0)
@@ -48,9 +52,10 @@ def bm25(rows: DataFrame, terms: list[str], columns: list[str], keep: list[str])
     return joined.select(*keep, rank.alias("rank"))
 
 
-def memory_text_search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Best rows by BM25 over title and content, with the logistic score."""
-    hits = bm25(rows, phrases(query), ["title", "content"], ["id"])
+def memory_text_search(rows: DataFrame | Postings, query: str, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+    """Best rows by BM25 over title and content, with the logistic score; rows is a table or its index, allowed the ids that count."""
+    hits = rows.bm25(phrases(query)) if isinstance(rows, Postings) else bm25(rows, phrases(query), ["title", "content"], ["id"])
+    hits = hits if allowed is None else hits.join(allowed.select("id"), "id", "left_semi")
     return hits.withColumn("score", logistic_rank(F.col("rank"))).orderBy("rank", "id").limit(limit)
 
 
@@ -103,13 +108,20 @@ def hybrid(channels: DataFrame, memories: DataFrame, edges: DataFrame, allowed:
     return rows.withColumn("score", total).orderBy(F.desc("score"), "id").limit(limit).select("id", "score", "vector", "keyword", "graph", "via")
 
 
-def recall(memories: DataFrame, vectors: DataFrame, texts: DataFrame, edges: DataFrame, vec_id: int, text: str, now_ms: int, limit: int = 8, graph: bool = True) -> DataFrame:
-    """Hybrid recall: candidates first (active, not secret), then vector (0.6) and text (0.4) channels, then fusion."""
-    allowed = memories.filter("status = 'active' and sensitivity <> 'secret'").select("id", "importance", "pinned", "created")
+def recall(
+    memories: DataFrame, vectors: DataFrame, texts: DataFrame | Postings, edges: DataFrame, vec_id: int, text: str, now_ms: int, limit: int = 8, graph: bool = True, **asked
+) -> DataFrame:
+    """Hybrid recall: candidates first, then vector (0.6) and text (0.4) channels, then fusion.
+
+    asked are the filters of writes.candidates (kinds, tags, projects, agents, since, until, secret, pending, archived). texts
+    is a table or its index. Without filters the text channel's pool is cut before the candidates are kept, as it always was;
+    with filters only candidates enter the pool.
+    """
+    allowed = candidates(memories, **asked).select("id", "importance", "pinned", "created")
     pool = max(4 * limit, 40)
     mine = vectors.join(allowed.select("id"), "id", "left_semi")
     by_vector = vector_topk(mine, query_vector(vectors, vec_id), pool).select("id", (F.col("score") * 0.6).alias("vector"), F.lit(None).cast("double").alias("keyword"))
-    by_text = memory_text_search(texts, text, pool).join(allowed.select("id"), "id", "left_semi")
+    by_text = memory_text_search(texts, text, pool, allowed if asked else None).join(allowed.select("id"), "id", "left_semi")
     by_text = by_text.select("id", F.lit(None).cast("double").alias("vector"), (F.col("score") * 0.4).alias("keyword"))
     return hybrid(by_vector.unionByName(by_text), allowed, edges, allowed, now_ms, limit, graph)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, extraction, filters, graph, layout, mutations, search, security, stats, writes
 from ..operators.filters import ListFilter
-from ..session import ship
+from ..operators.postings import Postings
+from ..session import shared_dir, ship
 from ..sources.views import NOW_MS, SEMANTIC, Store, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,11 +228,34 @@ def bm25_sql(terms: list[str]) -> str:
     return f"tf AS (SELECT id, title, source, greatest(len(title) - 2, 0) + greatest(len(content) - 2, 0) AS l, {f} FROM doc), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l) AS avgl, {n} FROM tf), bm AS (SELECT id, title, source, -({rank}) AS rank FROM tf, st WHERE {hit})"
 
 
+def text_index(s: Store) -> Postings:
+    return Postings(s.spark, f"{shared_dir(s.spark)}/lorekeep-postings-{uuid.uuid4().hex}", ["title", "content"]).build(s.documents())
+
+
 @query(f"{with_views('doc')}, {bm25_sql(TEXT.split())} SELECT id, round(rank, 6) AS rank, round(1 / (1 + exp(rank / 4)), 6) AS score FROM bm ORDER BY bm.rank, id LIMIT 20")
 def bm25_memory(s: Store) -> DataFrame:
     return rounded(search.memory_text_search(s.documents(), TEXT), "rank", "score")
 
 
+@query(SQL["bm25_memory"])
+def postings_search(s: Store) -> DataFrame:
+    """The same search through an index, built for the purpose."""
+    return rounded(search.memory_text_search(text_index(s), TEXT), "rank", "score")
+
+
+CHANGED = """doc AS (SELECT id, title, source, CASE WHEN id % 3 = 0 THEN concat_ws(' ', content, 'Tionan xthonrex') ELSE content END AS content FROM doc0 WHERE id % 10 <> 7)"""
+
+
+@query(f"{with_views('doc').replace('WITH doc AS', 'WITH doc0 AS')}, {CHANGED}, {bm25_sql(TEXT.split())} SELECT id, round(rank, 6) AS rank, round(1 / (1 + exp(rank / 4)), 6) AS score FROM bm ORDER BY bm.rank, id LIMIT 20")
+def postings_update(s: Store) -> DataFrame:
+    """A search after a third of the rows have changed, a tenth has gone, and the segments have been merged."""
+    index = text_index(s)
+    docs = s.documents().select("id", "title", "content")
+    index.update(docs.filter("id % 3 = 0").withColumn("content", F.concat_ws(" ", "content", F.lit("Tionan xthonrex"))))
+    index = index.remove(docs.filter("id % 10 = 7")).compact(f"{index.path}-merged")
+    return rounded(search.memory_text_search(index, TEXT), "rank", "score")
+
+
 @query(f"{with_views('doc')}, {bm25_sql([PHRASE])} SELECT id, source, round(rank, 6) AS rank, round(1 / (1 + abs(rank)), 6) AS score FROM bm WHERE source IN ('src1', 'src2', 'src3') ORDER BY bm.rank, id LIMIT 20")
 def bm25_scoped(s: Store) -> DataFrame:
     return rounded(search.chunk_text_search(s.documents(), PHRASE, 20, ("src1", "src2", "src3")), "rank", "score")
