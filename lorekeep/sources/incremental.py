@@ -7,11 +7,11 @@ from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .sessions import MESSAGE, raw_lines
+from ..session import ship, stored
+from .growing import PIECE, lines_between
+from .sessions import MESSAGE
 
 #: Up to where a file has been read, and what its modification time was then.
 CURSOR = "path string, position long, modified timestamp"
@@ -22,54 +22,57 @@ def no_cursors(spark: SparkSession) -> DataFrame:
 
 
 def changed(spark: SparkSession, root: str, cursors: DataFrame, force: bool = False) -> DataFrame:
-    """path, size, position, truncated of the .jsonl files below root that differ from their cursor; contents are not read.
+    """path, size, modified, position, truncated of the .jsonl files below root that differ from their cursor; contents are not read.
 
-    A file shorter than its position was truncated and is read again from its start. force takes files that have not
-    changed too.
+    Sizes tell, not times: a line appended within the time that was seen before counts. A file shorter than its position
+    was truncated and is read again from its start. force takes files that have not changed too.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
     rows = files.join(cursors.select("path", "position", F.col("modified").alias("seen")), "path", "left")
     truncated = F.coalesce(F.col("size") < F.col("position"), F.lit(False))
     rows = rows.withColumns({"truncated": truncated, "position": F.when(truncated, 0).otherwise(F.coalesce("position", F.lit(0))).cast("long")})
-    fresh = F.lit(True) if force else F.col("seen").isNull() | (F.col("modified") > F.col("seen")) | F.col("truncated")
+    fresh = F.lit(True) if force else F.col("seen").isNull() | (F.col("size") != F.col("position"))
     return rows.filter(fresh).select("path", "size", "modified", "position", "truncated")
 
 
-def positioned(lines: DataFrame) -> DataFrame:
-    """Raw lines with the byte positions start and stop in their file (which has no byte order mark).
+def sought(batches):
+    """Ranges -> the lines in them."""
+    import pyarrow as pa
 
-    Lengths are summed within a block of a file, as the reader split it, and blocks by their totals, so that no task
-    holds more than a block, however long the file is.
-    """
-    length = F.octet_length("line") + 1
-    blocks = lines.groupBy("path", F.col("seq.block").alias("block")).agg(F.sum(length).alias("total"))
-    blocks = blocks.withColumn("base", F.sum("total").over(W.partitionBy("path").orderBy("block")) - F.col("total")).drop("total")
-    inside = F.sum(length).over(W.partitionBy("path", "block").orderBy("seq.row"))
-    rows = lines.withColumn("block", F.col("seq.block")).withColumn("upto", inside).join(blocks, ["path", "block"])
-    stop = F.col("base") + F.col("upto")
-    return rows.withColumns({"start": stop - length, "stop": stop}).drop("block", "upto", "base")
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        path, start, stop, line = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(line)], ["path", "start", "stop", "line"])
+
+    for part in batches:
+        for path, position, size, at in zip(*(part.column(c).to_pylist() for c in ("path", "position", "size", "at")), strict=True):
+            rows, held, end = [], 0, min(at + PIECE, size)
+            for start, stop, line in lines_between(path, position, at, end, tail=end == size):
+                rows.append((path, start, stop, line))
+                held += len(line)
+                if held > 1 << 22:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
 
 def resume(spark: SparkSession, root: str, cursors: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """New lines (path, modified, seq, line, start, stop, truncated; a stored table), and the cursors after them.
 
-    Each file is read from its cursor up to the first line that is no JSON: that line, which may still be being written,
-    and all after it wait for the next read. Blank lines are passed over. A last line without its newline counts if it
-    is JSON. Cursors of other files stay as they are; a file that has gone keeps its cursor. Files that were last
-    changed before any file of interest are pruned when Spark lists them.
+    Only the bytes between a file's cursor and the size that it had when listed are read, in pieces by any number of tasks;
+    what is appended meanwhile comes with the next read. A last line without its newline counts if it is JSON and waits
+    otherwise. Any other line that is no JSON is delivered like the rest, for sessions.corrupt to put aside. Blank lines are
+    passed over. Cursors of other files stay as they are; a file that has gone keeps its cursor.
     """
-    files = stored(changed(spark, root, cursors, force), "log-files")
-    earliest = files.agg(F.date_format(F.min("modified") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
-    lines = positioned(raw_lines(spark, root, since=earliest or "9999-01-01T00:00:00")).drop("modified").join(files, "path")
-    lines = lines.filter("start >= position").withColumn("good", (F.trim("line") == "") | F.try_parse_json("line").isNotNull())
-    lines = stored(lines, "log-lines")
-    bad = lines.filter("not good").groupBy("path").agg(F.min("start").alias("bad"))
-    kept = lines.join(bad, "path", "left").filter("bad is null or start < bad")
-    ends = kept.groupBy("path").agg(F.max(F.least("stop", "size")).alias("reached"))
+    files = stored(changed(ship(spark), root, cursors, force), "log-files")
+    pieces = files.filter("size > position").select("path", "position", "size", F.explode(F.expr(f"sequence(position, size - 1, {PIECE}L)")).alias("at"))
+    lines = stored(pieces.repartition("path", "at").mapInArrow(sought, "path string, start bigint, stop bigint, line string"), "log-lines")
+    ends = lines.groupBy("path").agg(F.max("stop").alias("reached"))
     after = files.join(ends, "path", "left").select("path", F.coalesce("reached", "position").alias("position"), "modified")
     after = cursors.select("path", "position", "modified").join(after, "path", "left_anti").unionByName(after)
-    new = kept.filter(F.trim("line") != "").select("path", "modified", "seq", "line", "start", "stop", "truncated")
+    place = F.struct(F.col("start").alias("block"), F.lit(0).cast("long").alias("row")).alias("seq")
+    new = lines.filter(F.trim("line") != "").join(files.select("path", "modified", "truncated"), "path").select("path", "modified", place, "line", "start", "stop", "truncated")
     return stored(new, "log-new"), stored(after, "log-cursors")
 
 

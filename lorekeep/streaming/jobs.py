@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mutations import upsert
+from ..session import ship
+from ..sources.growing import growing_lines
 
 
-def follow_logs(spark: SparkSession, root: str, files_per_batch: int = 100) -> DataFrame:
-    """Lines of new .jsonl files below root; the checkpoint holds what has been read, so a restart goes on from there."""
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("line"))
+def follow_logs(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """New lines (path, seq, line) of the .jsonl files below root, appended ones included, each once and in the bytes that are new.
+
+    The checkpoint holds how far every file has been read, so a restart goes on from there.
+    """
+    place = F.struct(F.col("start").alias("block"), F.lit(0).cast("long").alias("row"))
+    return growing_lines(ship(spark), root, **options).select("path", place.alias("seq"), "line")
 
 
 def register_sessions(lines: DataFrame, adapter: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -28,8 +33,7 @@ def register_sessions(lines: DataFrame, adapter: Callable[[DataFrame], DataFrame
         from ..sources.sessions import sessions_of
 
         spark = batch.sparkSession
-        numbered = batch.withColumn("seq", F.monotonically_increasing_id())  # lines of a file stay in order
-        new = sessions_of(adapter(numbered)).withColumn("version", F.lit(epoch).cast("long"))
+        new = sessions_of(adapter(batch)).withColumn("version", F.lit(epoch).cast("long"))
         before = latest(spark, target, epoch)
         if before is not None:
             told = ["messages", "started", "title", "cwd", "branch", "model"]
