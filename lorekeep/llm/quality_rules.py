@@ -104,9 +104,12 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     all their measures are 0. Input columns with a name of the ledger are replaced, others pass through; repeated
     rows stay repeated, and an empty table gives an empty one. Texts are measured whole.
     """
-    docs = without(docs, *MEASURES, "fail_bits", "__lk_text", "__lk_words", "__lk_lines", "__lk_windows", "__lk_sorted", "__lk_twice", "__lk_placed", "__lk_at")
+    docs = without(docs, *MEASURES, "fail_bits")
+    clashing = [c for c in docs.columns if c.lower().startswith("__lk_")]
+    aside = dict(zip(clashing, free(docs, *[f"aside{i}" for i in range(len(clashing))]), strict=True))
+    back = {v: k for k, v in aside.items()}
     bits = " | ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit}L ELSE 0L END" for r in rules)
-    return measured(docs).withColumn("fail_bits", F.expr(bits))
+    return measured(docs.withColumnsRenamed(aside)).withColumn("fail_bits", F.expr(bits)).withColumnsRenamed(back)
 
 
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:

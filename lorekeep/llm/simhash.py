@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import free, stored, without
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -257,6 +257,7 @@ def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -
     found = judged(docs, radius, width, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a doc_id may be the smallest of several groups, or none have one: the root tells groups apart
     stay = found.groupBy("root").agg(F.min("row_key").alias("row_key"))
-    keyed = docs.withColumn("__lk_row", F.xxhash64("doc_id", "text"))
-    kept = keyed.join(stay.select(F.col("row_key").alias("__lk_row")), "__lk_row", "left_semi")
-    return kept.dropDuplicates(["__lk_row"]).select(*docs.columns)
+    (key,) = free(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    kept = keyed.join(stay.select(F.col("row_key").alias(key)), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)

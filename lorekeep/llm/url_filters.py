@@ -29,20 +29,28 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.range(1).select(F.explode(F.array(*literal)).alias("r")).select("r.*")
 
 
-def expressions(host: str, path: str, lengths: list[int]) -> Column:
-    """Every (host suffix at a label, path prefix of one of the lengths) that a rule could name."""
-    labels = f"split({host}, '[.]')"
-    suffixes = f"transform(sequence(1, size({labels})), i -> array_join(slice({labels}, i, size({labels})), '.'))"
-    prefixes = f"filter(transform(array({', '.join(map(str, lengths))}), n -> CASE WHEN length({path}) >= n THEN left({path}, n) END), p -> p IS NOT NULL)"
-    return F.expr(f"CASE WHEN {host} = '' THEN cast(array() AS array<string>) ELSE flatten(transform({suffixes}, h -> transform({prefixes}, p -> concat(h, p)))) END")
+def labels(host: str) -> Column:
+    """How many labels a host has."""
+    return F.expr(f"length({host}) - length(replace({host}, '.', '')) + 1")
+
+
+def expressions(host: str, path: str, shapes: list[tuple[int, int]]) -> Column:
+    """The last labels of a host and the first characters of a path, for each (labels, characters) that a rule has and the url offers.
+
+    Each is cut out of the url by itself, so a host of any number of labels costs its length a shape.
+    """
+    of = ", ".join(f"named_struct('k', {k}, 'n', {n})" for k, n in shapes)
+    fits = f"{host} <> '' AND length({host}) - length(replace({host}, '.', '')) + 1 >= s.k AND length({path}) >= s.n"
+    cut = f"transform(filter(array({of}), s -> {fits}), s -> concat(substring_index({host}, '.', -s.k), left({path}, s.n)))"
+    return F.expr(cut if shapes else "cast(array() AS array<string>)")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """Judges every row of pages by the longest rule that fits its url.
 
     A rule (host, path, verdict) fits its host and all subdomains if the url's path starts with the rule's. Urls are
-    expanded into their host suffixes times those path prefixes whose lengths occur among the rules (at most one an
-    expression, so the work a url is its labels times these lengths), each hashed; rows and rules meet in an equi-join
+    expanded into host suffixes with path prefixes, of those numbers of labels and characters only that occur together in
+    a rule (so the work a url is its length times these shapes), each hashed; rows and rules meet in an equi-join
     on the first SHORT digits of the SHA-256, and full digests are compared before precedence decides: the longest
     rule, then the longer host, then block. Equal urls are expanded and joined once.
 
@@ -51,10 +59,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     stay repeated, repeated rules count once, rules with a null are ignored, and an empty table gives an empty one.
     """
     clean = rules.filter("host is not null and path is not null and verdict is not null").select(ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
-    lengths = [r[0] for r in clean.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).collect()]
+    shapes = sorted(map(tuple, clean.select(labels("rule_host"), F.length("rule_path")).distinct().collect()))
     rows = pages.select(F.col(key).alias("page_key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     distinct = rows.select("host", "path").distinct()
-    wide = distinct.withColumn("expression", F.explode(expressions("host", "path", lengths or [0])))
+    wide = distinct.withColumn("expression", F.explode(expressions("host", "path", shapes)))
     wide = wide.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.left("digest", F.lit(SHORT)))
     hashed = clean.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("rule_digest", F.sha2("rule", 256)).withColumn("short", F.left("rule_digest", F.lit(SHORT)))
     # host and path are told apart: the text of an expression alone does not say where its host ends

@@ -35,6 +35,28 @@ def odd(spark):
     return spark.createDataFrame([(*r, 1, "x") for r in ODD], "doc_id long, text string, n_words long, kept int, row_key2 string")
 
 
+def test_names_of_work_columns_pass_through(spark):
+    from lorekeep.llm import simhash
+
+    docs = spark.createDataFrame([(1, "a b c. " * 30 + "d e", "kept", 5, 6), (2, "x", "k", 1, 2)], "doc_id long, text string, __lk_text string, __LK_words int, __lk_row int")
+    rows = quality_rules.judge(docs).collect()
+    assert sorted((r["__lk_text"], r["__LK_words"], r["__lk_row"]) for r in rows) == [("k", 1, 2), ("kept", 5, 6)]
+    assert quality_rules.accepted(docs).columns == docs.columns and quality_rules.accepted(docs).count() <= 2
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_url_filters_long_hosts(spark):
+    import time
+
+    hosts = ["a." * 50_000 + "example.net", "b" * 100_000 + ".org", "." * 20_000 + "net", "net", "x.example.com."]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/x") for i, h in enumerate(hosts)] + [(9, "http://net" + "/en" * 40_000)], "page_id long, url string")
+    rules = url_filters.rules_frame(spark, queries.URL_RULES)
+    url_filters.judge(pages.limit(1), rules).collect()
+    start = time.time()
+    got = {r["page_id"]: r["rule"] for r in url_filters.judge(pages, rules).collect()}
+    assert got == {0: "example.net/en/", 1: None, 2: "net/", 3: "net/", 4: None, 9: "net/"} and time.time() - start < 10
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = defaultdict(list)
