@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, extraction, filters, graph, layout, mutations, search, security, stats, writes
+from ..operators import delta, documents, extraction, filters, graph, layout, mutations, search, security, similarity, stats, writes
 from ..operators.filters import ListFilter
 from ..operators.postings import Postings
-from ..session import shared_dir, ship
+from ..session import shared_dir, ship, stored
 from ..sources.views import NOW_MS, SEMANTIC, Store, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -351,6 +351,37 @@ def edges_project(s: Store) -> DataFrame:
     return rounded(graph.project_edges(s.memories()), "weight")
 
 
+ALL_KINDS = f"SELECT source, target, 'semantic' AS kind, round(score, 6) AS weight FROM ({VEC}, {KNN} SELECT * FROM k WHERE place <= 6)" + "".join(
+    f" UNION ALL SELECT source, target, '{kind}', weight FROM ({SQL[f'edges_{kind}']})" for kind in ("entity", "tag", "session", "project")
+)
+
+
+@query(ALL_KINDS)
+def edges_incremental(s: Store) -> DataFrame:
+    """All candidate edges after a change of memories, vectors, links and mentions, from the edges before it."""
+    now = delta.State(s.memories(), s.vectors(), s.links(), s.mentions())
+    moved = F.col("id") % 171 == 3
+    old = now.memories.filter("id % 131 <> 0").withColumns({"session": F.when(moved, "elsewhere").otherwise(F.col("session")), "project": F.when(moved, "p0").otherwise(F.col("project"))})
+    gone = now.memories.filter("id % 190 = 0").withColumns({"id": F.col("id") + 1_000_000_000})
+    turned = now.vectors.filter("id % 13 <> 0").withColumn("embedding", F.when(F.col("id") % 17 == 3, F.reverse("embedding")).otherwise(F.col("embedding")))
+    mentions = now.mentions.withColumn("mentions", F.col("mentions") + F.when(F.col("entity") % 97 == 0, 1).otherwise(0))
+    before = delta.State(old.unionByName(gone), turned, now.links.filter("memory % 131 <> 0"), mentions)
+    changed = [
+        now.memories.filter("id % 131 = 0 or id % 171 = 3").select("id"), gone.select("id"), now.vectors.filter("id % 13 = 0 or id % 17 = 3").select("id"),
+        now.links.filter("memory % 131 = 0").select(F.col("memory").alias("id")),
+    ]
+    pairs = stored(graph.similar_pairs(before.vectors, SEMANTIC), "pairs-before")
+    edges = stored(graph.candidates(before.memories, before.vectors, before.links, before.mentions, SEMANTIC), "edges-before")
+    return rounded(delta.refreshed(edges, pairs, before, now, delta.any_of(*changed), SEMANTIC)[0], "weight")
+
+
+@query(f"""{VEC}, one AS (SELECT min(id) AS id, e FROM vec GROUP BY e) SELECT a.id AS source, b.id AS target, round(list_dot_product(a.e, b.e), 6) AS score
+FROM one a JOIN one b ON a.id < b.id AND list_dot_product(a.e, b.e) >= {SEMANTIC}""")
+def similar_near(s: Store) -> DataFrame:
+    """Similar pairs of different vectors; exact while comparing all costs no more than buckets (the tests measure what these find)."""
+    return rounded(similarity.near_pairs(s.vectors(), SEMANTIC), "score")
+
+
 @query(f"""{with_views('mem', 'vec')}, {KNN}, act AS (SELECT id, session FROM mem WHERE status = 'active'), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY id) AS place FROM act),
 sp AS (SELECT a.id AS source, r.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY r.id) AS nth FROM act a JOIN r ON a.session = r.session AND a.id <> r.id AND place <= 11),
 cand AS (SELECT source, target, 'semantic' AS kind, score AS weight, 100 + 10 * score AS pri FROM k WHERE place <= 6 UNION ALL SELECT source, target, 'session', 0.45, 30 FROM sp WHERE nth <= 10),
