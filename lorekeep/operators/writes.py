@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What a bulk action sets; the value of each column as SQL.
@@ -30,21 +31,40 @@ def prepared(new: DataFrame) -> DataFrame:
 
 
 def insert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old and the prepared rows of new; an id that old has already is left as it is."""
+    """old and the prepared rows of new; an id that old has already is left as it is, one that new repeats comes in once (the row of the least hash)."""
     rows = prepared(new).join(old.select("id"), "id", "left_anti")
+    nth = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64(*rows.columns)))
+    rows = rows.withColumn("nth_of_id", nth).filter("nth_of_id = 1").drop("nth_of_id")
     return old.unionByName(rows, allowMissingColumns=True)
 
 
 def update(old: DataFrame, patches: DataFrame) -> DataFrame:
-    """old with patches (id and any of PATCHED, null: as it was) applied; the hash follows the content, secrecy the kind."""
+    """old with patches (id and any of PATCHED, null: as it was) applied; the hash follows the content, secrecy the kind.
+
+    Rows without a patch stay as they are. Of several patches of an id the highest version counts (a column `version`); where
+    there is none, or it ties, patches that differ are refused with an error.
+    """
     given = [c for c in PATCHED if c in patches.columns and c in old.columns]
-    some = patches.select("id", *[F.col(c).alias(f"new_{c}") for c in given], F.lit(True).alias("patched")).dropDuplicates(["id"])
-    rows = old.join(some, "id", "left")
-    changed = {c: F.coalesce(f"new_{c}", c) for c in given}
-    rows = rows.withColumns(changed)
-    if "content_hash" in old.columns:
-        rows = rows.withColumn("content_hash", F.when(F.col("patched"), content_hash(F.col("content"))).otherwise(F.col("content_hash")))
-    return rows.withColumn("sensitivity", secrecy(F.col("kind"), F.col("sensitivity"))).select(*old.columns)
+    some = patches.select("id", *[F.col(c).alias(f"new_{c}") for c in given], (F.col("version") if "version" in patches.columns else F.lit(0)).alias("new_version")).distinct()
+    some = some.withColumn("first", F.rank().over(W.partitionBy("id").orderBy(F.desc("new_version")))).filter("first = 1").drop("first")
+    alike = F.count(F.lit(1)).over(W.partitionBy("id"))
+    some = some.withColumn("patched", F.when(alike > 1, F.raise_error(F.concat(F.lit("patches of one id differ: "), F.col("id").cast("string"))).cast("boolean")).otherwise(True)).drop("new_version")
+    rows = old.join(some, "id", "left").withColumn("patched", F.coalesce("patched", F.lit(False)))
+    rows = rows.withColumns({c: F.coalesce(f"new_{c}", c) for c in given})
+    follow = {"sensitivity": secrecy(F.col("kind"), F.col("sensitivity"))} | ({"content_hash": content_hash(F.col("content"))} if "content_hash" in old.columns else {})
+    return rows.withColumns({c: F.when(F.col("patched"), value).otherwise(F.col(c)) for c, value in follow.items()}).select(*old.columns)
+
+
+def remembered(tables: dict[str, DataFrame], new: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """The change set of an insertion: memories, audit (id, action, at) and tags (tag, uses), of which one needs all.
+
+    Only rows that come in are audited and counted; a tag is counted once for each of them.
+    """
+    memories = insert(tables["memories"], new)
+    came = memories.join(tables["memories"].select("id"), "id", "left_anti")
+    bumps = came.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
+    tags = tables["tags"].unionByName(bumps).groupBy("tag").agg(F.sum("uses").alias("uses"))
+    return tables | {"memories": memories, "audit": audit(tables["audit"], came, "insert", at), "tags": tags}
 
 
 def bulk(old: DataFrame, ids: DataFrame, action: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import delta, documents, extraction, filters, graph, layout, mutations, search, security, similarity, stats, writes
+from ..operators import delta, documents, entities, extraction, filters, graph, layout, mutations, search, security, similarity, stats, writes
 from ..operators.filters import ListFilter
 from ..operators.postings import Postings
 from ..session import shared_dir, ship, stored
@@ -769,3 +769,23 @@ def recent_documents(s: Store) -> DataFrame:
 
     nth = F.row_number().over(W.partitionBy("source").orderBy(F.desc("id")))
     return s.documents().select("source", "id", nth.alias("nth")).filter("nth <= 3").drop("nth")
+
+
+@query("""WITH named AS (SELECT l_orderkey AS memory, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 0), part_of AS (SELECT DISTINCT p FROM named WHERE p % 5 = 0),
+men AS (SELECT l_partkey AS entity, count(*) AS mentions FROM lineitem GROUP BY 1), old AS (SELECT p_partkey AS p, coalesce(mentions, 0) AS mentions FROM part LEFT JOIN men ON entity = p_partkey WHERE p_partkey % 3 <> 0),
+everyone AS (SELECT p FROM old UNION SELECT p FROM named UNION SELECT p + 1 FROM part_of), grouped AS (SELECT p, CASE WHEN p - 1 IN (SELECT p FROM part_of) THEN p - 1 ELSE p END AS g FROM everyone),
+o AS (SELECT g, min(p) AS entity, sum(mentions) AS mentions FROM old JOIN grouped USING (p) GROUP BY g), n AS (SELECT g, count(*) AS added FROM named JOIN grouped USING (p) GROUP BY g),
+freq AS (SELECT g, 'PART  ' || p AS name, count(*) AS c FROM named JOIN grouped USING (p) GROUP BY g, p), called AS (SELECT g, min(name) AS name FROM freq f WHERE c = (SELECT max(c) FROM freq x WHERE x.g = f.g) GROUP BY g),
+links AS (SELECT g, memory FROM (SELECT DISTINCT l_orderkey AS memory, l_partkey AS p FROM lineitem WHERE l_partkey % 3 <> 0 UNION SELECT memory, p FROM named) JOIN grouped USING (p)),
+ln AS (SELECT g, count(DISTINCT memory) AS links FROM links GROUP BY g)
+SELECT coalesce('part ' || entity, called.name) AS name, CAST(coalesce(mentions, 0) + coalesce(added, 0) AS BIGINT) AS mentions, coalesce(links, 0) AS links
+FROM o FULL JOIN n USING (g) LEFT JOIN called USING (g) LEFT JOIN ln USING (g)""")
+def entities_upsert(s: Store) -> DataFrame:
+    """Two thirds of the parts as entities, more of them named by orders, every fifth with its successor as an alias."""
+    parts = s.table("part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("entity"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"))
+    old = parts.join(s.mentions(), "entity", "left").select("entity", "name", F.array().cast("array<string>").alias("aliases"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    number = F.col("l_partkey").cast("string")
+    alias = F.when(F.col("l_partkey") % 5 == 0, F.array(F.concat(F.lit(" Part "), (F.col("l_partkey") + 1).cast("string")))).otherwise(F.array().cast("array<string>"))
+    named = s.table("lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("memory"), F.concat(F.lit("PART  "), number).alias("name"), alias.alias("aliases"))
+    found, links = entities.upsert(old, s.links().filter("entity % 3 <> 0"), named)
+    return found.join(links.groupBy("entity").agg(F.count(F.lit(1)).alias("links")), "entity", "left").select("name", "mentions", F.coalesce("links", F.lit(0)).alias("links"))
