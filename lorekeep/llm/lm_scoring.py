@@ -126,7 +126,7 @@ def built(shard: int, rows: pa.Table) -> pa.RecordBatch:
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Builds the shards of a partition, whose few rows a shard are held together."""
+    """Builds the shards of a partition, whose n-grams, each a row, are held together a shard."""
     held: dict[int, list[pa.RecordBatch]] = {}
     for batch in batches:
         shard = batch["shard"].to_numpy()
@@ -264,7 +264,7 @@ def with_shards(rows: DataFrame, model: DataFrame, shards: int, total: int, dist
             value[~bigram] = looked_up(words, counts, wanted[~bigram])
             n = int(bigram.sum())
             value[bigram] = probed(bloom, np.zeros(n, np.int64), np.full(n, len(bloom)), wanted[bigram])
-        return asked.select(["batch", "hash", "bigram"]).append_column("value", pa.array(value))
+        return asked.select(["hash", "bigram"]).append_column("value", pa.array(value))
 
     def scored(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         flat = Flat.of([np.frombuffer(x, "<u8") for x in docs["words"].to_pylist()])
@@ -279,10 +279,13 @@ def with_shards(rows: DataFrame, model: DataFrame, shards: int, total: int, dist
 
     names = ["batch", "doc_id", "held_out", "words", "hash", "bigram"]
     parts = stored(rows.mapInArrow(split, f"batch long, doc_id {kind}, held_out boolean, words binary, hash long, bigram boolean"), "lm-batches")
-    asked = parts.filter("hash is not null").select(sharded(shards), "batch", "hash", "bigram")
-    answers = asked.groupBy("shard").cogroup(model.select("shard", "words", "counts", "bloom").groupBy("shard")).applyInArrow(answered, "batch long, hash long, bigram boolean, value long")
+    asked = parts.filter("hash is not null").select(sharded(shards), F.col("batch").alias("of"), "hash", "bigram")
+    # a shard answers each n-gram once; a word of every batch goes back to them by a join, which adaptive execution may split
+    once = asked.select("shard", "hash", "bigram").distinct()
+    answers = once.groupBy("shard").cogroup(model.select("shard", "words", "counts", "bloom").groupBy("shard")).applyInArrow(answered, "hash long, bigram boolean, value long")
+    answers = asked.select("of", "hash", "bigram").join(answers, ["hash", "bigram"])
     docs = parts.filter("words is not null").select("batch", "doc_id", "held_out", "words")
-    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, schema)
+    return docs.groupBy("batch").cogroup(answers.groupBy("of")).applyInArrow(scored, schema)
 
 
 def sharded(shards: int):
@@ -310,7 +313,8 @@ def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: in
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(1, size // 6 // SHARD_TOKENS).bit_length() - 1
     counts = rows.filter(~F.col("held_out")).select("text").mapInArrow(counted, "hash long, bigram boolean, n long").select(sharded(shards), "hash", "bigram", "n")
-    counts = counts.repartition(-(-shards // SHARDS_PER_TASK), "shard")
+    # summed where they arrive, with spilling: a word of every batch is one row for the build, however large the corpus is
+    counts = counts.repartition(-(-shards // SHARDS_PER_TASK), "shard").groupBy("shard", "hash", "bigram").agg(F.sum("n").alias("n"))
     model = stored(counts.mapInArrow(by_shard, "shard int, tokens long, distinct long, size long, words binary, counts binary, bloom binary"), "lm-model")
     total, distinct, held = model.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "size")]).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
