@@ -24,16 +24,20 @@ COMMAND = r"\b((?:docker(?:\s+compose)?|kubectl|systemctl|pm2|ssh|scp|rsync|pnpm
 QUERYING = r"\b(?:--help|-h|--version|status|list|ls|ps)\b\s*$"
 BRIEF_HEADING = r"(?im)^\s*(?:##?\s*)?(?:Goal|Task|Context|Symptom|Acceptance|Deliverable|Constraints|目标|任务|背景|验收|约束)\s*[:：]?\s*$"
 
+#: A brief by its form, how a directive may not begin, and the signs that it may not be made of.
+BRIEF_CHARS, BRIEF_HEADLINE, BRIEF_FENCE = 900, r"(?m)^#{1,3}\s", "```"
+LOOSE_START, SIGNS, SIGN_SHARE = r"^[，,。、；;：:）)\]】>|·—-]", r"[|`{}<>\[\]$#*_~]", 0.08
+
 
 def task_brief(text: Column) -> Column:
     """Assignments, which hold no lasting facts: any long text, and any with a heading, a fenced block or an assignment's section."""
-    fenced = F.size(F.regexp_extract_all(text, F.lit("```"), F.lit(0))) >= 2
-    return (F.length(text) > 900) | text.rlike(r"(?m)^#{1,3}\s") | fenced | text.rlike(BRIEF_HEADING)
+    fenced = F.size(F.regexp_extract_all(text, F.lit(BRIEF_FENCE), F.lit(0))) >= 2
+    return (F.length(text) > BRIEF_CHARS) | text.rlike(BRIEF_HEADLINE) | fenced | text.rlike(BRIEF_HEADING)
 
 
 def well_formed(c: Column) -> Column:
-    symbols = F.length(c) - F.length(F.regexp_replace(c, r"[|`{}<>\[\]$#*_~]", ""))
-    return F.length(c).between(8, 200) & ~c.rlike(r"^[，,。、；;：:）)\]】>|·—-]") & (symbols <= 0.08 * F.length(c))
+    symbols = F.length(c) - F.length(F.regexp_replace(c, SIGNS, ""))
+    return F.length(c).between(8, 200) & ~c.rlike(LOOSE_START) & (symbols <= SIGN_SHARE * F.length(c))
 
 
 def extract(turns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MESSAGE = ["agent", "session", "path", "seq", "role", "text", "at", "cwd", "branch", "model"]
-#: Messages that a tool put in, not the user.
+# How messages begin that a tool put in, not the user.
 INJECTED = (
     r"(?s)^\s*(?:<system-reminder>|<environment_context>|<user_instructions>|<(?i:INSTRUCTIONS)>|#\s*(?i:AGENTS\.md instructions)|#\s*(?i:CLAUDE\.md)"
     r"|Caveat:|<command-name>|<local-command-stdout>|\[Request interrupted|<budget_status>)"
