@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import release, stored
 
 NOW_MS = 1_706_745_600_000  # 2024-02-01 00:00:00 UTC
 SEMANTIC = 0.35
@@ -20,6 +20,13 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def files(self, name: str) -> tuple:
+        """Name, size and time of every file of a table."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in self.table(name).inputFiles()]
+        found = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+        return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
     def memories(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("long") % 10
         who, day = F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string")
@@ -66,22 +73,26 @@ class Store:
     def edges(self, threshold: float = SEMANTIC) -> DataFrame:
         """Semantic edges above the threshold, and tag edges between neighbours of one label.
 
-        The similarity join runs once for an application; all questions about edges read its stored table.
+        The similarity join is stored once for each state of the vectors' files, by their sizes and times; a table of an
+        earlier state is deleted.
         """
         from ..operators.graph import similar_pairs
 
         v = self.vectors()
-        key = (self.spark.sparkContext.applicationId, self.folder, threshold)
-        if key not in SEMANTIC_TABLES:
-            SEMANTIC_TABLES[key] = stored(similar_pairs(v, threshold), "semantic-edges")
-        semantic = SEMANTIC_TABLES[key].select("source", "target", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
+        key, state = (self.spark.sparkContext.applicationId, self.folder, threshold), self.files("embeddings")
+        known = SEMANTIC_TABLES.get(key)
+        if known is None or known[0] != state:
+            SEMANTIC_TABLES[key] = state, stored(similar_pairs(v, threshold), "semantic-edges")
+            if known is not None:
+                release(known[1])
+        semantic = SEMANTIC_TABLES[key][1].select("source", "target", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
         a, b = v.select(F.col("id").alias("source"), "label"), v.select(F.col("id").alias("target"), F.col("label").alias("other"))
         tag = a.join(b, (F.col("target") == F.col("source") + 1) & (F.col("label") == F.col("other"))).select("source", "target", F.lit("tag").alias("kind"), F.lit(0.4).alias("weight"))
         return semantic.unionByName(tag)
 
 
-#: Stored similarity joins by application, folder and threshold.
-SEMANTIC_TABLES: dict[tuple, DataFrame] = {}
+#: Stored similarity joins, and the state of the files that they are of, by application, folder and threshold.
+SEMANTIC_TABLES: dict[tuple, tuple[tuple, DataFrame]] = {}
 #: The same views as SQL, to be put after WITH.
 SQL = {
     "mem": """mem AS (SELECT event_id AS id, event_type AS kind, event_type || ' ' || event_id AS title, 'p' || (user_id % 12) AS project, 'a' || (user_id % 4) AS agent,

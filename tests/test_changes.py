@@ -53,6 +53,24 @@ def test_entities_meet_through_aliases(spark):
     assert Counter(map(str, again.collect())) == Counter(map(str, got.collect()))
 
 
+def test_engine_writes_and_recalls(spark, sf, tmp_path):
+    from lorekeep.api import Engine
+    from lorekeep.sources.views import NOW_MS, Store
+
+    s = Store(spark, sf)
+    engine = Engine(spark, {"memories": s.memories(), "vectors": s.vectors(), "documents": s.documents(), "edges": s.edges()}, NOW_MS)
+    new = spark.createDataFrame([(10**9, "fact", "words", None, ["a/b", "x"]), (0, "fact", "old id", None, ["a/b"])], MEMORY)
+    at = F.lit("2024-02-01").cast("timestamp")
+    later = engine.remember(new, at).act(spark.createDataFrame([(10**9,), (10**9,), (-5,)], "id long"), "pin", at).update(spark.createDataFrame([(10**9, "changed")], "id long, content string"), at)
+    row = later.tables["memories"].filter("id = 1000000000").first()
+    assert (row["pinned"], row["content"], row["sensitivity"], row["status"]) == (True, "changed", "private", "active")
+    assert [tuple(r)[:2] for r in later.tables["audit"].collect()] == [(10**9, "insert"), (10**9, "pin"), (10**9, "update")] and engine.tables["memories"].filter("id = 1000000000").isEmpty()
+    assert later.tables["tags"].filter("tag = 'x'").first()["uses"] == 1 and later.tables["memories"].count() == engine.tables["memories"].count() + 1
+    indexed = engine.indexed(str(tmp_path / "index"))
+    ids = lambda e, **asked: [(r["id"], round(r["score"], 6)) for r in e.recall(0, "thonre tionan", **asked).collect()]
+    assert ids(engine) == ids(indexed) == ids(engine.indexed(str(tmp_path / "index"))) and ids(engine) != ids(indexed, kinds=("view",))
+
+
 def test_only_changed_files_are_chunked(spark, tmp_path, monkeypatch):
     def files(**texts):
         return spark.createDataFrame([(k, v) for k, v in texts.items()], "key string, content string").withColumn("hash", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
