@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 900, 150
@@ -156,6 +156,12 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -
     return docs.select("id", "content").mapInPandas(work, "doc long, ord int, heading string, content string, char_start int, char_end int")
 
 
+def context_needed(text: Column, chunks: Column) -> Column:
+    """Whether a document's chunks need context of their own: it has several, and headings for fewer than half of them."""
+    headings = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^#{1,6}\s"), F.lit(0)))
+    return (chunks > 1) & (headings < 0.5 * chunks)
+
+
 def embed_text(chunks: DataFrame) -> DataFrame:
     """What is embedded of a chunk: its heading path, a blank line and the content."""
     head = F.when(F.col("heading") != "", F.concat("heading", F.lit("\n\n"))).otherwise("")

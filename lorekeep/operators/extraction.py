@@ -70,8 +70,13 @@ def extract(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", kind.alias("kind"), "title", "content", "confidence", "importance", "tag", F.when(F.col("secret"), "secret").otherwise("private").alias("sensitivity"))
 
 
-def activity(turns: DataFrame, least: int = 6) -> DataFrame:
-    """One memory a session of `least` turns or more; sessions with the same first 40 characters count once."""
+def activity(turns: DataFrame, least: int = 6, projects: DataFrame | None = None) -> DataFrame:
+    """One memory a session of `least` turns or more; sessions with the same first 40 characters count once.
+
+    projects (conv_id, project): where given, only sessions with a project count.
+    """
+    if projects is not None:
+        turns = turns.join(projects.filter("trim(project) <> ''").select("conv_id").distinct(), "conv_id", "left_semi")
     first = F.left(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))), F.lit(40))
     sessions = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), first.alias("title")).filter((F.col("messages") >= least) & F.col("title").isNotNull())
     nth = F.row_number().over(W.partitionBy("title").orderBy("conv_id"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .mutations import upsert
+
 #: Nodes that a snapshot holds at most; what one group of the functions below can see.
 MAX_NODES = 3000
 NEIGHBOURHOOD = 40
@@ -199,3 +201,19 @@ def reel_in(points: DataFrame, far: float = 2.4, to: float = 2.0) -> DataFrame:
     rows = rows.join(middle, "cluster")
     k = F.when((F.col("median") > 0) & (F.col("d") > far * F.col("median")), to * F.col("median") / F.col("d")).otherwise(1.0)
     return rows.select("cluster", "node", (F.col("cx") + (F.col("x") - F.col("cx")) * k).alias("x"), (F.col("cy") + (F.col("y") - F.col("cy")) * k).alias("y"))
+
+
+def save_positions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Saved places (id, x, y) with new ones in their stead; a place that is no number changes nothing."""
+    usable = new.filter(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select("id", "x", "y")
+    return upsert(old, usable, ["id"])
+
+
+def placed(nodes: DataFrame, saved: DataFrame) -> DataFrame:
+    """nodes with the places that are saved for them, null where there are none."""
+    return nodes.join(saved, "id", "left")
+
+
+def clear_positions(saved: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Saved places without those of some ids, or without any."""
+    return saved.limit(0) if gone is None else saved.join(gone.select("id"), "id", "left_anti")

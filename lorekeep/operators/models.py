@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .documents import hash_vector
 from .extraction import extract, normalized
+from .mutations import delete_memories
 
 #: Texts that a model gets at a time, and memories that a session may give.
 BATCH, MOST = 64, 12
@@ -161,3 +162,23 @@ def model_extract(turns: DataFrame, name: str, factory: Callable[[], LanguageMod
     columns = ["conv_id", "method", "kind", "title", "content", "sensitivity", "confidence", "importance", "tags"]
     by_rules = extract(turns.join(asked.filter("not answered").select("conv_id"), "conv_id", "left_semi"))
     return good.withColumn("method", F.lit("model")).select(*columns).unionByName(by_rules.withColumns({"method": F.lit("rules"), "tags": F.array("tag")}).select(*columns))
+
+
+def harvest(docs: DataFrame, memories: DataFrame, name: str, factory: Callable[[], LanguageModel], prompt: str = "{transcript}", kinds: tuple[str, ...] = ("fact",), chars: int = 8000) -> DataFrame:
+    """Pending memories (doc, kind, title, content, sensitivity, confidence, importance, tags, status) that a model finds in documents.
+
+    A document's first `chars` characters go to the model (that is the feature: one question a document). A title that a
+    memory has already, or that another document gave first, is passed over; a document on which the model fails gives none.
+    """
+    texts = docs.select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("document").alias("role"), F.left(F.coalesce("content", F.lit("")), F.lit(chars)).alias("text"))
+    found = model_extract(texts, name, factory, prompt, kinds, chars + 16).filter("method = 'model'")
+    new = found.join(memories.select(F.lower(F.trim("title")).alias("known")).distinct(), F.lower(F.trim("title")) == F.col("known"), "left_anti")
+    nth = F.row_number().over(W.partitionBy(F.lower(F.trim("title"))).orderBy("conv_id"))
+    return new.withColumn("nth", nth).filter("nth = 1").drop("nth", "method").withColumnRenamed("conv_id", "doc").withColumn("status", F.lit("pending"))
+
+
+def maintained(tables: dict[str, DataFrame], now: str, name: str, factory: Callable[[], Embedder]) -> dict[str, DataFrame]:
+    """A day's upkeep: memories that have expired (expires_at before now, not pinned) go with all that hangs on them, vectors that lack are made."""
+    expired = tables["memories"].filter((F.col("expires_at") < F.lit(now).cast("timestamp")) & ~F.coalesce("pinned", F.lit(False)))
+    left = tables | delete_memories({k: tables[k] for k in ("memories", "vectors", "links", "edges")}, expired.select("id"))
+    return left | {"vectors": backfilled(left["memories"], left["vectors"], name, factory)}

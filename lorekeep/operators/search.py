@@ -126,6 +126,17 @@ def recall(
     return hybrid(by_vector.unionByName(by_text), allowed, edges, allowed, now_ms, limit, graph)
 
 
+def channel_counts(hits: DataFrame) -> DataFrame:
+    """One row: how many hits each channel has part in."""
+    return hits.agg(*[F.count(c).alias(f"n_{c}") for c in ("vector", "keyword", "graph")], F.count(F.lit(1)).alias("n_hits"))
+
+
+def palette(hits: DataFrame, documents: DataFrame, memories: int = 6, docs: int = 4) -> DataFrame:
+    """kind, id, score: the best memories of a recall and the best documents of a search."""
+    best = lambda rows, kind, n: rows.orderBy(F.desc("score"), "id").limit(n).select(F.lit(kind).alias("kind"), "id", "score")
+    return best(hits, "memory", memories).unionByName(best(documents, "document", docs))
+
+
 def browse(memories: DataFrame, now_ms: int, limit: int = 8) -> DataFrame:
     """Recall without a text: by importance, base score 0.5."""
     rows = memories.filter("status = 'active' and sensitivity <> 'secret'")

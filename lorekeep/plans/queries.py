@@ -789,3 +789,30 @@ def entities_upsert(s: Store) -> DataFrame:
     named = s.table("lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("memory"), F.concat(F.lit("PART  "), number).alias("name"), alias.alias("aliases"))
     found, links = entities.upsert(old, s.links().filter("entity % 3 <> 0"), named)
     return found.join(links.groupBy("entity").agg(F.count(F.lit(1)).alias("links")), "entity", "left").select("name", "mentions", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(f"SELECT count(vector) AS n_vector, count(keyword) AS n_keyword, count(graph) AS n_graph, count(*) AS n_hits FROM ({SQL['hybrid_recall_graph']})")
+def recall_channels(s: Store) -> DataFrame:
+    return search.channel_counts(search.recall(s.memories(), s.vectors(), s.documents(), s.edges(), VECTOR, TEXT, NOW_MS, 8, True))
+
+
+@query(f"SELECT 'memory' AS kind, id, score FROM (SELECT * FROM ({SQL['hybrid_recall_graph']}) ORDER BY score DESC, id LIMIT 6) UNION ALL SELECT 'document', id, score FROM (SELECT * FROM ({SQL['document_search']}) ORDER BY score DESC, id LIMIT 4)")
+def command_palette(s: Store) -> DataFrame:
+    hits = search.recall(s.memories(), s.vectors(), s.documents(), s.edges(), VECTOR, TEXT, NOW_MS, 6, True)
+    return rounded(search.palette(hits, search.document_search(s.documents(), s.vectors(), VECTOR, PHRASE, 4)), "score")
+
+
+@query(r"""WITH d AS (SELECT doc_id AS id, (length(text) + 899) // 900 AS chunks, len(regexp_extract_all(text, '(?m)^#{1,6}\s')) AS headings FROM documents) SELECT id, chunks > 1 AND headings < 0.5 * chunks AS needed FROM d""")
+def context_needed(s: Store) -> DataFrame:
+    chunks = F.floor((F.length("content") + 899) / 900)
+    return s.documents().select("id", documents.context_needed(F.col("content"), chunks).alias("needed"))
+
+
+@query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
+SELECT e.event_id AS id, CASE WHEN p.id % 7 <> 0 THEN CASE WHEN p.id % 3 = 0 THEN -x ELSE x END END AS x, CASE WHEN p.id % 7 <> 0 THEN y END AS y FROM events e LEFT JOIN p ON p.id = e.event_id""")
+def layout_saved(s: Store) -> DataFrame:
+    """Places of memories after a third was moved and a seventh forgotten."""
+    old = s.vectors().select("id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    moved = old.filter("id % 3 = 0").withColumn("x", -F.col("x")).unionByName(old.filter("id % 3 = 1").withColumn("x", F.lit(float("nan"))))
+    saved = layout.clear_positions(layout.save_positions(old, moved), old.filter("id % 7 = 0"))
+    return layout.placed(s.memories().select("id"), saved)

@@ -21,11 +21,12 @@ def no_cursors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CURSOR)
 
 
-def changed(spark: SparkSession, root: str, cursors: DataFrame, force: bool = False) -> DataFrame:
+def changed(spark: SparkSession, root: str, cursors: DataFrame, force: bool = False, since: str | None = None) -> DataFrame:
     """path, size, modified, position, truncated of the .jsonl files below root that differ from their cursor; contents are not read.
 
     Sizes tell, not times: a line appended within the time that was seen before counts. A file shorter than its position
-    was truncated and is read again from its start. force takes files that have not changed too.
+    was truncated and is read again from its start. force takes files that have not changed too. since is how far a look
+    back reaches: files without a cursor that were last changed before are passed over.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
@@ -33,6 +34,8 @@ def changed(spark: SparkSession, root: str, cursors: DataFrame, force: bool = Fa
     truncated = F.coalesce(F.col("size") < F.col("position"), F.lit(False))
     rows = rows.withColumns({"truncated": truncated, "position": F.when(truncated, 0).otherwise(F.coalesce("position", F.lit(0))).cast("long")})
     fresh = F.lit(True) if force else F.col("seen").isNull() | (F.col("size") != F.col("position"))
+    if since:
+        rows = rows.filter(F.col("seen").isNotNull() | (F.col("modified") >= F.lit(since).cast("timestamp")))
     return rows.filter(fresh).select("path", "size", "modified", "position", "truncated")
 
 
@@ -57,7 +60,7 @@ def sought(batches):
                 yield batch(rows)
 
 
-def resume(spark: SparkSession, root: str, cursors: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def resume(spark: SparkSession, root: str, cursors: DataFrame, force: bool = False, since: str | None = None) -> tuple[DataFrame, DataFrame]:
     """New lines (path, modified, seq, line, start, stop, truncated; a stored table), and the cursors after them.
 
     Only the bytes between a file's cursor and the size that it had when listed are read, in pieces by any number of tasks;
@@ -65,7 +68,7 @@ def resume(spark: SparkSession, root: str, cursors: DataFrame, force: bool = Fal
     otherwise. Any other line that is no JSON is delivered like the rest, for sessions.corrupt to put aside. Blank lines are
     passed over. Cursors of other files stay as they are; a file that has gone keeps its cursor.
     """
-    files = stored(changed(ship(spark), root, cursors, force), "log-files")
+    files = stored(changed(ship(spark), root, cursors, force, since), "log-files")
     pieces = files.filter("size > position").select("path", "position", "size", F.explode(F.expr(f"sequence(position, size - 1, {PIECE}L)")).alias("at"))
     lines = stored(pieces.repartition("path", "at").mapInArrow(sought, "path string, start bigint, stop bigint, line string"), "log-lines")
     ends = lines.groupBy("path").agg(F.max("stop").alias("reached"))

@@ -18,7 +18,7 @@ INJECTED = (
 
 
 def raw_lines(spark: SparkSession, root: str, since: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path, modified, seq, line of all .jsonl files below root (changed after since)."""
+    """path, modified, seq, line of all .jsonl files below root (changed after since), but for those whose path begins with an excluded prefix."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if since:
         reader = reader.option("modifiedAfter", since)
@@ -27,7 +27,7 @@ def raw_lines(spark: SparkSession, root: str, since: str | None = None, exclude:
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"), F.col("value").alias("line"),
     )
     for prefix in exclude:
-        rows = rows.filter(~F.contains("path", F.lit(prefix)))
+        rows = rows.filter(~F.startswith(F.regexp_replace("path", "^file:/*", "/"), F.lit(prefix)) & ~F.startswith("path", F.lit(prefix)))
     return rows
 
 

@@ -74,6 +74,55 @@ def test_model_extraction_and_its_fallback(spark):
     assert {r["method"] for r in found["two"] + found["four"]} == {"rules"} and found["two"] and found["four"]
 
 
+def test_harvest_and_upkeep(spark):
+    answers = [{"title": f"T{i}", "content": "c"} for i in range(3)]
+
+    def factory():
+        return lambda prompts: [json.dumps(answers) if "good" in p else None for p in prompts]
+
+    docs = spark.createDataFrame([(1, "good text"), (2, "good too"), (3, "bad"), (4, None)], "id long, content string")
+    got = models.harvest(docs, spark.createDataFrame([(" t1 ",), (None,)], "title string"), "h", factory).collect()
+    assert sorted((r["doc"], r["title"], r["status"]) for r in got) == [(1, "T0", "pending"), (1, "T2", "pending")]
+    rows = [(1, "2020-01-01", False), (2, "2020-01-01", True), (3, None, None), (4, "2030-01-01", False)]
+    memories = spark.createDataFrame([(i, "t", "c", "active", "public", p, e) for i, e, p in rows], "id long, title string, content string, status string, sensitivity string, pinned boolean, expires string").withColumn("expires_at", F.col("expires").cast("timestamp"))
+    tables = {"memories": memories, "vectors": spark.createDataFrame([(1, [1.0], "m")], "id long, embedding array<float>, model string"), "links": spark.createDataFrame([(1, 5), (2, 5)], "memory long, entity long"), "edges": spark.createDataFrame([(1, 2), (2, 3)], "source long, target long")}
+    left = models.maintained(tables, "2024-01-01", "m", lambda: lambda texts: [[2.0] for _ in texts])
+    assert sorted(r["id"] for r in left["memories"].collect()) == [2, 3, 4] == sorted(r["id"] for r in left["vectors"].collect())
+    assert [(r["memory"], r["entity"]) for r in left["links"].collect()] == [(2, 5)] and [(r["source"], r["target"]) for r in left["edges"].collect()] == [(2, 3)]
+
+
+def test_vault(spark):
+    import time
+
+    from lorekeep.operators import vault
+
+    kept, key = vault.create(spark, "main", "one two", rounds=1 << 10)
+    rows = spark.createDataFrame([(1, "secret", "body"), (2, "public", "open"), (3, "secret", None)], "id long, sensitivity string, content string")
+    sealed = vault.levelled(rows, key).cache()
+    bodies = {r["id"]: r["content"] for r in sealed.collect()}
+    assert bodies[1].startswith("sealed:") and "body" not in bodies[1] and bodies[2] == "open" and bodies[3] is None
+    kept = vault.add_wrapper(spark, kept, key, "spare", "three", rounds=1 << 10)
+    kept = vault.remove_wrapper(kept, "main")
+    again = vault.unlock(spark, kept, "three")
+    assert {r["id"]: r["content"] for r in vault.opened(sealed, again).collect()} == {1: "body", 2: "open", 3: None}
+    for wrong in ("one two", ""):
+        with pytest.raises(PermissionError):
+            vault.unlock(spark, kept, wrong)
+    with pytest.raises(ValueError, match="last"):
+        vault.remove_wrapper(kept, "spare")
+    turned = vault.levelled(sealed.withColumn("sensitivity", F.when(F.col("id") == 1, "private").otherwise("secret")), again)
+    shown = {r["id"]: r["content"] for r in turned.collect()}
+    assert shown[1] == "body" and shown[2].startswith("sealed:") and vault.opened(turned, again).filter("id = 2").first()["content"] == "open"
+    other, fresh, new = vault.rekeyed(spark, sealed, again, "main", "four", rounds=1 << 10)
+    other = other.cache()
+    assert vault.opened(other, new).filter("id = 1").first()["content"] == "body" and vault.opened(other, again).filter("id = 1").first()["content"] is None
+    assert vault.unlock(spark, fresh, "four").get() == new.get() and new.get() not in repr(new) + repr(fresh)
+    short = vault.Unlocked(key.get(), ttl=0.05)
+    time.sleep(0.1)
+    with pytest.raises(PermissionError):
+        short.get()
+
+
 def test_sqlite_sessions(spark, tmp_path):
     path = str(tmp_path / "s p#.db")
     with sqlite3.connect(path) as db:
