@@ -230,3 +230,32 @@ def test_html_rows(spark, sf):
     odd = spark.createDataFrame([(1, None, 5, "k"), (1, None, 5, "k"), (2, "<p>x</p>", None, None)], "page_id int, html string, n_chars int, main_text string")
     assert sorted(map(tuple, extract(odd).collect())) == sorted([(1, "k", "", 0), (1, "k", "", 0), (2, None, "x", 1)], key=str)
     assert extract(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pipeline_stages_take_odd_rows(spark, sf, kind):
+    """Every stage but the last: nulls, empty and long texts, repeated rows, clashing names, ids of text, an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(n)) + "."
+    good = [prose(120) for _ in range(4)]
+    texts = [*good, good[0], good[1] + " tail", None, "", " \n\t", "short", "\n".join([good[2], prose(60), good[2]]), prose(60_000)]
+    ids = [*range(len(texts) - 1), None]
+    rows = [(None if i is None else i if kind == "long" else f"d{i}", t, "en", "src", None if t is None else len(t), 1, "m", b"d", 7) for i, t in zip(ids, texts, strict=True)]
+    schema = f"doc_id {kind}, text string, lang string, source string, n_chars long, row_key int, minima string, digest binary, __lk_words int"
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], rows[6]], schema)
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, now = now.count(), stage(spark, now, sf)
+            assert now.columns == docs.columns, name
+            now = spark.createDataFrame(now.collect(), docs.schema)
+            assert now.count() <= before
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).count()
+        assert (packed == 0) == empty
+        if not empty:
+            left = {r["text"] for r in now.collect()}
+            assert good[3] in left, [t[:20] for t in left]
+            assert texts[-1] in left
+            assert not {None, "short"} & left and sum(good[0] in t for t in left) == 1
