@@ -17,16 +17,17 @@ def contracted(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the smallest node reachable) for every end of the edges (a, b), of any type that has an order.
 
-    Loops and repeated edges change nothing, edges with a null end are left out. Each round is a stored table; no round
-    gathers a node's neighbours, it aggregates their minimum and joins it back.
+    Loops and repeated edges change nothing, edges with a null end are left out, no edges give no rows. Each round is a
+    stored table (called name), that of the round before is deleted. No round gathers a node's neighbours: it aggregates
+    their minimum and joins it back, which adaptive execution may split at a hub.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     size = now.count()
     while size:
-        after = stored(contracted(contracted(now, True), False), "components")
+        after = stored(contracted(contracted(now, True), False), name)
         left = after.count()
         done = left == size and after.join(now, ["u", "v"], "left_anti").isEmpty()
         release(now)
