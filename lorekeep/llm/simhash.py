@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import free, stored, without
-from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BITS = 64
