@@ -163,6 +163,46 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s
 """
+
+
+def more(edits: str, cost: int, letters: str) -> str:
+    """Edits (a struct of cost c and audit a, or null) with more at their end."""
+    return f"CASE WHEN {edits} IS NOT NULL THEN {{'c': {edits}.c + {cost}, 'a': {edits}.a || '{letters}'}} END"
+
+
+#: A recursion over the rows of all conversations at once: p0 to p3 are the least (cost, audit) in each state, insertions made.
+SQL["op13_conversation_repair"] = (
+    r"""
+WITH RECURSIVE r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS name FROM conversations),
+names AS (SELECT DISTINCT name FROM r0),
+crc AS (SELECT name, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind FROM names),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM r0 JOIN crc USING (name)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS ink FROM d),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN ink = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+m AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+e AS (SELECT m.k, f.* EXCLUDE (conv_id) FROM f JOIN m ON f.conv_id IS NOT DISTINCT FROM m.conv_id),
+s AS (SELECT k, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY k),
+"""
+    + f"""walk AS (SELECT k, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS p0, NULL::STRUCT(c BIGINT, a VARCHAR) AS p1, {{'c': 2::BIGINT, 'a': 'I'}} AS p2, {{'c': 4::BIGINT, 'a': 'II'}} AS p3 FROM m
+UNION ALL SELECT k, i, b0, b1, least(b2, {more('b0',2,'I')}, {more('b1',2,'I')}, {more('b3',2,'I')}), least(b3, {more('b2',2,'I')}, {more('b0',4,'II')}, {more('b1',4,'II')})
+FROM (SELECT k, i, {more('p0',3,'D')} AS b0,
+ least({more('p1',3,'D')}, CASE WHEN live AND ini = 's' THEN {{'c': p0.c + cut, 'a': p0.a || 'K'}} END) AS b1,
+ least({more('p2',3,'D')}, CASE WHEN live AND ini = 'u' THEN {{'c': u.c + cut, 'a': u.a || 'K'}} END, CASE WHEN live THEN {{'c': u.c + 2 + cut, 'a': u.a || 'R'}} END) AS b2,
+ least({more('p3',3,'D')}, CASE WHEN live AND ini = 'a' THEN {{'c': p2.c + cut, 'a': p2.a || 'K'}} END, CASE WHEN live THEN {{'c': p2.c + 2 + cut, 'a': p2.a || 'R'}} END) AS b3
+ FROM (SELECT walk.k, e.i, p0, p1, p2, p3, least(p0, p1, p3) AS u, fault IN ('k', 't') AS live, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS cut, ini FROM walk JOIN e ON e.k = walk.k AND e.i = walk.i + 1))),
+best AS (SELECT k, b.c AS cost, b.a AS audit FROM (SELECT walk.k, least(p0, p3) AS b FROM walk LEFT JOIN s USING (k) WHERE walk.i = coalesce(s.n, 0))),
+edits AS (SELECT k, pos, audit[pos] AS edit, length(translate(left(audit, pos), 'I', '')) AS i, length(translate(left(audit, pos), 'D', '')) AS place, length(translate(audit, 'D', '')) % 2 AS odd
+  FROM (SELECT k, audit, unnest(range(1, length(audit) + 1)) AS pos FROM best)),
+said AS (SELECT edits.k, string_agg(concat(CASE WHEN edit = 'K' THEN role WHEN (place - 1 - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END, ':', CASE WHEN edit = 'I' THEN '' ELSE text END), chr(10) ORDER BY pos) AS repaired
+  FROM edits LEFT JOIN e ON e.k = edits.k AND e.i = edits.i AND edit <> 'I' WHERE edit <> 'D' GROUP BY edits.k)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+  sha256(coalesce(repaired, '')) AS repaired_sha256 FROM m JOIN best USING (k) LEFT JOIN s USING (k) LEFT JOIN said USING (k)
+"""
+)
 LEDGER = SQL["op5_quality_rules"].rpartition("SELECT doc_id")[0].rstrip()
 SQL["quality_ablations"] = LEDGER + """,
 p(policy, version, mask) AS (VALUES ('base', 1, 3), ('web', 1, 127), ('web', 2, 255), ('web', 3, 251)),
