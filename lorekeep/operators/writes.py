@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: What a bulk action sets; the value of each column as SQL.
 ACTIONS = {"accept": {"status": "'active'"}, "reject": {"status": "'rejected'"}, "archive": {"status": "'archived'"}, "pin": {"pinned": "true"}, "unpin": {"pinned": "false"}}
 #: Columns that a patch may set.
@@ -184,12 +186,19 @@ def last_messages(turns: DataFrame, most: int = 3) -> DataFrame:
 
 def dashboard(memories: DataFrame, day: str) -> DataFrame:
     """section, name, n: counts by kind, status, sensitivity, project and agent, the newest 8, 6 waiting, 24 tags, and a day's activity."""
-    parts = [memories.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("section"), "name", "n") for c in ("kind", "status", "sensitivity", "project", "agent")]
+    named = F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("name")) for c in ("kind", "status", "sensitivity", "project", "agent")])
+    of_day = F.when(F.col("created").cast("date") == F.lit(day).cast("date"), F.array(F.struct(F.lit("day").alias("section"), F.lit(day).alias("name"))))
+    tagged = F.when(F.col("status") == "active", F.transform("tags", lambda t: F.struct(F.lit("tag").alias("section"), t.alias("name"))))
+    nothing = F.array().cast("array<struct<section:string,name:string>>")
+    # one pass gives every count: a row counts in each section that it belongs to
+    counted = memories.select(F.explode(F.concat(named, F.coalesce(of_day, nothing), F.coalesce(tagged, nothing))).alias("s")).groupBy("s.section", "s.name").agg(F.count(F.lit(1)).alias("n"))
+    counted = stored(counted, "dashboard")
+    none = memories.sparkSession.range(1).select(F.lit("day").alias("section"), F.lit(day).alias("name"), F.lit(0).cast("long").alias("n"))
+    today = counted.filter("section = 'day'").unionByName(none).groupBy("section", "name").agg(F.max("n").alias("n"))
+    parts = [counted.filter("section not in ('day', 'tag')"), today]
     title = [F.col("title").alias("name"), F.col("id").alias("n")]
     newest = memories.orderBy(F.desc("created"), "id")
     parts.append(newest.limit(8).select(F.lit("recent").alias("section"), *title))
     parts.append(memories.filter("status = 'pending'").orderBy(F.desc("created"), "id").limit(6).select(F.lit("pending").alias("section"), *title))
-    tags = memories.filter("status = 'active'").select(F.explode("tags").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(24)
-    parts.append(tags.select(F.lit("tag").alias("section"), "name", "n"))
-    parts.append(memories.filter(F.col("created").cast("date") == F.lit(day).cast("date")).agg(F.lit("day").alias("section"), F.lit(day).alias("name"), F.count(F.lit(1)).alias("n")))
+    parts.append(counted.filter("section = 'tag'").orderBy(F.desc("n"), "name").limit(24))
     return reduce(DataFrame.unionByName, parts)
