@@ -90,11 +90,38 @@ def session_edges(rows: DataFrame, peers: int = 10) -> DataFrame:
     return pairs.withColumn("nth", nth).filter(F.col("nth") <= peers).select("source", "target", F.lit(0.45).alias("weight"))
 
 
-def project_edges(rows: DataFrame, nearest: int = 3) -> DataFrame:
-    """The rows of the same project nearest in time, either way; only the neighbours in time order are looked at."""
-    order = W.partitionBy("project").orderBy("created", "id")
+def with_neighbours(rows: DataFrame, nearest: int, every: str) -> DataFrame:
+    """rows (project, created, id, importance) dealt by project and stretch of time, and beside them those nearest to a stretch.
+
+    A stretch gets the last rows before it and the first after it (mine: false), so that what is nearest in a project's order
+    is always there, while no task holds more than a stretch. Only a few rows of each stretch take part in finding them.
+    """
+    own = rows.select("project", "created", "id", "importance", F.date_trunc(every, "created").alias("stretch"))
+    inside = W.partitionBy("project", "stretch")
+    ends = [
+        own.withColumn("nth", F.row_number().over(inside.orderBy(*order))).filter(F.col("nth") <= nearest).withColumn("first", F.lit(first))
+        for first, order in ((True, ("created", "id")), (False, (F.desc("created"), F.desc("id"))))
+    ]
+    row, first = F.struct("created", "id", "importance"), F.col("first")
+    held = ends[0].unionByName(ends[1]).groupBy("project", "stretch").agg(
+        F.sort_array(F.collect_list(F.when(first, row))).alias("firsts"), F.sort_array(F.collect_list(F.when(~first, row))).alias("lasts")
+    )
+    along = W.partitionBy("project").orderBy("stretch")
+    nothing = F.filter("firsts", lambda x: F.lit(False))
+    gathered = lambda at, c: F.sort_array(F.flatten(F.array(*[F.coalesce(at(c, i).over(along), nothing) for i in range(1, nearest + 1)])))
+    before, after = gathered(F.lag, "lasts"), gathered(F.lead, "firsts")
+    near = held.withColumns({"before": before, "after": after})
+    near = near.withColumn("beside", F.concat(F.slice("before", F.greatest(F.size("before") - nearest + 1, F.lit(1)), F.lit(nearest)), F.slice("after", 1, nearest)))
+    beside = near.select("project", "stretch", F.explode("beside").alias("b")).select("project", "b.created", "b.id", "b.importance", "stretch", F.lit(False).alias("mine"))
+    return own.withColumn("mine", F.lit(True)).unionByName(beside)
+
+
+def project_edges(rows: DataFrame, nearest: int = 3, every: str = "day") -> DataFrame:
+    """The rows of the same project nearest in time, either way; only the neighbours in time order are looked at, stretch by stretch."""
+    rows = with_neighbours(rows, nearest, every)
+    order = W.partitionBy("project", "stretch").orderBy("created", "id")
     sides = [f(c, i).over(order).alias(f"{n}{c}{i}") for i in range(1, nearest + 1) for n, f in (("b", F.lag), ("a", F.lead)) for c in ("id", "created", "importance")]
-    wide = rows.select(F.col("id").alias("source"), F.col("created").alias("at"), *sides)
+    wide = rows.select(F.col("id").alias("source"), F.col("created").alias("at"), "mine", *sides).filter("mine")
     peers = F.array(*[F.struct(F.col(f"{n}id{i}").alias("target"), F.col(f"{n}created{i}").alias("peer_at"), F.col(f"{n}importance{i}").alias("importance")) for i in range(1, nearest + 1) for n in "ba"])
     rows = wide.select("source", "at", F.explode(peers).alias("p")).select("source", "at", "p.*").filter("target is not null")
     seconds = F.abs(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("peer_at").cast("timestamp")))
