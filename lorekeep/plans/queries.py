@@ -816,3 +816,8 @@ def layout_saved(s: Store) -> DataFrame:
     moved = old.filter("id % 3 = 0").withColumn("x", -F.col("x")).unionByName(old.filter("id % 3 = 1").withColumn("x", F.lit(float("nan"))))
     saved = layout.clear_positions(layout.save_positions(old, moved), old.filter("id % 7 = 0"))
     return layout.placed(s.memories().select("id"), saved)
+
+
+SQL["edges_budgeted_all"] = f"""WITH cand AS ({ALL_KINDS}), p AS (SELECT *, CASE kind WHEN 'semantic' THEN 100 + 10 * weight WHEN 'entity' THEN 80 WHEN 'tag' THEN 40 + 5 * weight WHEN 'session' THEN 30 ELSE 20 END AS pri FROM cand),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY pri DESC, kind) AS one FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pri DESC, kind, target) AS place FROM o WHERE one = 1)
+SELECT source, target, kind, weight, CAST(place AS INTEGER) AS place FROM b WHERE place <= 12"""
