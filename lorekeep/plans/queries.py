@@ -821,3 +821,7 @@ def layout_saved(s: Store) -> DataFrame:
 SQL["edges_budgeted_all"] = f"""WITH cand AS ({ALL_KINDS}), p AS (SELECT *, CASE kind WHEN 'semantic' THEN 100 + 10 * weight WHEN 'entity' THEN 80 WHEN 'tag' THEN 40 + 5 * weight WHEN 'session' THEN 30 ELSE 20 END AS pri FROM cand),
 o AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY pri DESC, kind) AS one FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pri DESC, kind, target) AS place FROM o WHERE one = 1)
 SELECT source, target, kind, weight, CAST(place AS INTEGER) AS place FROM b WHERE place <= 12"""
+
+ROUND = "l{1} AS (SELECT node, label AS community FROM (SELECT v.node, v.community AS label, row_number() OVER (PARTITION BY v.node ORDER BY round(w, 9) DESC, v.community) AS nth FROM (SELECT sides.node, l{0}.community, sum(weight) AS w FROM sides JOIN l{0} ON l{0}.node = other GROUP BY ALL) v) WHERE nth = 1)"
+SQL["communities"] = f"""{with_views('vec', 'edge')}, sides AS (SELECT source AS node, target AS other, weight FROM edge UNION ALL SELECT target, source, weight FROM edge), l0 AS (SELECT DISTINCT node, node AS community FROM sides),
+{", ".join(ROUND.format(i, i + 1) for i in range(5))} SELECT node, community FROM l5"""
