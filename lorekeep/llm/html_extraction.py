@@ -40,13 +40,13 @@ OUTSIDE = frozenset(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Names (parts of class and id) of what is no article; comments are left out even where they hold headings or more text than all else.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising alert banner breadcrumb breadcrumbs byline-share consent cookie cookies copyright disclaimer footer form gdpr header login masthead"
-    " menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promoted promotion recommendations recommended related search share"
-    " sharing sidebar signup social sponsor sponsored sponsors subscribe subscription toc toolbar widget widgets".split()
+    "ad adbanner adblock adbox ads adslot adspace adunit advert adverts advertisement advertisements advertising alert aside banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer"
+    " footer gdpr login masthead menu menubar menus modal nav navbar navigation navmenu newsletter notice notices notification overlay pager pagination popup promo promos promoted promotion"
+    " recommendations recommended related search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toc toolbar topbar widget widgets".split()
 )
 TALK = frozenset("comment comments commentlist commentlists discussion disqus feedback replies reply respond responses".split())
-#: Words before such a name that speak of the element's surroundings instead.
-ABOUT = frozenset("has hide is no show with without".split())
+#: Words before such a name that speak of the element's surroundings or its subject instead.
+ABOUT = frozenset("category has hide is no show tag topic with without".split())
 P, P_WITHIN = frozenset({"p"}), frozenset("button caption table td th".split())
 DEPTH = 512
 TAG_BEGINS = re.compile("<[a-zA-Z!?/]")
@@ -71,8 +71,9 @@ def named(value: str) -> tuple[bool, bool]:
                 continue
             if part == "header":
                 outside |= TOPS.issuperset(parts)
-            outside |= part in NAMES or part.startswith(("adsby", "advert"))
-            talk |= part in TALK
+            outside |= part in NAMES or part.startswith(("adsby", "adsense", "advert", "cookie"))
+            talk |= part in TALK or part.startswith(("commentform", "commentsection", "commentthread"))
+        outside |= "".join(parts) in NAMES
     return outside, talk
 
 

@@ -202,6 +202,18 @@ def test_html_sections_stay_together():
     assert main_text(PAGE.replace("{}", NOISE[0] + f"<article>{body}</article>" + NOISE[10])) == text
 
 
+@pytest.mark.parametrize(("name", "gone"), [
+    ("main-nav", True), ("siteFooter", True), ("cookieConsent", True), ("adBox", True), ("ad_top", True), ("side-bar", True), ("newsletter-signup", True), ("social-share", True), ("related-posts", True),
+    ("commentThread", True), ("reader-comments", True), ("comment-section", True), ("page-header", True), ("advertising-slot", True), ("sponsored-content", True), ("skip-link", True),
+    ("post-header", False), ("has-sidebar", False), ("no-comments", False), ("category-social", False), ("adventure", False), ("long-form", False), ("commentary", False), ("reading", False), ("article-text", False),
+    ("navy", False), ("shareholders", False), ("page", False), ("", False),
+])
+def test_html_names(name, gone):
+    extra = "Some words that stand here in a paragraph."
+    page = PAGE.replace("{}", f"<article><h1>T</h1><div class='x {name}'><p>{extra}</p></div><p>The text of the article, with some words.</p></article>")
+    assert (extra not in main_text(page)) == gone
+
+
 @pytest.mark.parametrize(("source", "want"), [
     (None, ""), ("", ""), ("plain text", "plain text"), ("a < b &amp; c", "a < b & c"), ("<p>one<p>two", "one two"), ("<p>cut off <b>here", "cut off here"), ("<p>text</p><a hre", "text"),
     ("<p>text</p><!-- open", "text"), ("<p>a&nbsp;b c</p>", "a b c"), ("<p title='>'>x</p>", "x"), ("<nav><a href=/>x</a></nav>", ""), ("<P>UP</P><BR/>", "UP"), ("<div>one<div>two</div>three</div>", "one two three"),
