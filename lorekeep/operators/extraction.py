@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
-from .graph import similar_pairs
+from .graph import blocked_pairs
 from .security import has_secrets
 
 # What introduces a directive and the memory that it makes (kind, confidence, importance, tag), commands that
@@ -92,11 +92,9 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
 
 def semantic_duplicates(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
     """id, twin, score: the most similar earlier vector of the same label at or above the threshold."""
-    pairs = similar_pairs(vectors, threshold)
-    a, b = vectors.select(F.col("id").alias("source"), F.col("label").alias("la")), vectors.select(F.col("id").alias("target"), F.col("label").alias("lb"))
-    same = pairs.join(a, "source").join(b, "target").filter("la = lb")
-    place = F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "source"))
-    return same.withColumn("place", place).filter("place = 1").select(F.col("target").alias("id"), F.col("source").alias("twin"), "score")
+    pairs = blocked_pairs(vectors, threshold, best=1, earlier=True, within="label")
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "target"))
+    return pairs.withColumn("place", place).filter("place = 1").select(F.col("source").alias("id"), F.col("target").alias("twin"), "score")
 
 
 def merge(pairs: DataFrame) -> DataFrame:

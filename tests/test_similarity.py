@@ -1,13 +1,15 @@
 """Random-projection buckets against the exact join, and the upkeep of pairs and edges against full rebuilds."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import delta, graph, similarity
+from lorekeep.operators import delta, extraction, graph, similarity
+from lorekeep.plans import queries
 
 
 def unit(v):
@@ -89,3 +91,31 @@ def test_edges_after_any_change_equal_a_rebuild(spark, seed):
     key = lambda df: Counter((r["source"], r["target"], r["kind"], round(r["weight"], 9)) for r in df.collect())
     assert key(edges) == key(made(now))
     assert Counter(map(tuple, pairs.select("source", "target").collect())) == Counter(map(tuple, graph.similar_pairs(now.vectors, 0.5).select("source", "target").collect()))
+
+
+def test_blocks_grow_with_memory_only(spark, monkeypatch):
+    """A vector travels once a block: 150,000 small vectors were cut into 74 blocks, so they travelled 74 times."""
+    many = spark.range(150_000).select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    assert graph.block_count(many) <= graph.SPREAD and graph.block_count(many.limit(0)) == 1
+    monkeypatch.setattr(graph, "BLOCK", 50_000 // 64)
+    assert graph.block_count(many) == -(-150_000 // (50_000 // 64))
+
+
+def test_nearest_over_blocks_and_ties(spark, monkeypatch):
+    """The k nearest by blocks are those of all pairs, copies in the order of their ids; and so are earlier twins of a label."""
+    made = clustered(5, 200, dims=8) * 2
+    v = spark.createDataFrame([(i, x, None if i % 7 == 0 else i % 2) for i, x in enumerate(made)], "id long, embedding array<float>, label int")
+    pairs = [tuple(r) for r in graph.similar_pairs(v, 0.5).collect()]
+    label = {r["id"]: r["label"] for r in v.collect()}
+    around, twins = {}, {}
+    for a, b, score in pairs:
+        around.setdefault(a, []).append((-score, b))
+        around.setdefault(b, []).append((-score, a))
+        if label[a] is not None and label[a] == label[b]:
+            twins.setdefault(b, []).append((-score, a))
+    want = {(s, t, -score, i) for s, found in around.items() for i, (score, t) in enumerate(sorted(found)[:3], 1)}
+    for name, value in (("LEAST", 60), ("SLICE", 16), ("PAIRS", 64)):
+        monkeypatch.setattr(graph, name, value)
+    assert graph.block_count(v) == 7
+    assert {tuple(r) for r in graph.knn(v, 3, 0.5).select("source", "target", "score", "place").collect()} == want
+    assert {tuple(r) for r in extraction.semantic_duplicates(v, 0.5).collect()} == {(i, min(found)[1], -min(found)[0]) for i, found in twins.items()}
