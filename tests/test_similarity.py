@@ -119,3 +119,12 @@ def test_nearest_over_blocks_and_ties(spark, monkeypatch):
     assert graph.block_count(v) == 7
     assert {tuple(r) for r in graph.knn(v, 3, 0.5).select("source", "target", "score", "place").collect()} == want
     assert {tuple(r) for r in extraction.semantic_duplicates(v, 0.5).collect()} == {(i, min(found)[1], -min(found)[0]) for i, found in twins.items()}
+
+
+def test_similar_near_finds_all(spark, sf, monkeypatch):
+    """The query's SQL asks for every pair, however many vectors there are; plan() used to turn to buckets, which find a share."""
+    asked = []
+    plan = similarity.plan
+    monkeypatch.setattr(similarity, "plan", lambda n, threshold, recall: asked.append((threshold, recall)) or plan(n, threshold, recall))
+    assert queries.QUERIES["similar_near"](spark, sf).count() > 0
+    assert [plan(10**6, *x) for x in asked] == [(0, 0)] and plan(10**6, 0.35, 0.97) != (0, 0)
