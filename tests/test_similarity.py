@@ -128,3 +128,10 @@ def test_similar_near_finds_all(spark, sf, monkeypatch):
     monkeypatch.setattr(similarity, "plan", lambda n, threshold, recall: asked.append((threshold, recall)) or plan(n, threshold, recall))
     assert queries.QUERIES["similar_near"](spark, sf).count() > 0
     assert [plan(10**6, *x) for x in asked] == [(0, 0)] and plan(10**6, 0.35, 0.97) != (0, 0)
+
+
+def test_budget_ranks_rounded_weights(spark, sf, monkeypatch):
+    """Weights that are equal to six digits are ties, which go by target, as in the SQL."""
+    rows = spark.createDataFrame([(1, 9, "semantic", 0.5000004), (1, 3, "semantic", 0.5000001)], "source long, target long, kind string, weight double")
+    monkeypatch.setattr(graph, "candidates", lambda *_: rows)
+    assert sorted((r["place"], r["target"]) for r in queries.QUERIES["edges_budgeted_all"](spark, sf).collect()) == [(1, 3), (2, 9)]
