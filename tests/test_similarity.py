@@ -135,3 +135,21 @@ def test_budget_ranks_rounded_weights(spark, sf, monkeypatch):
     rows = spark.createDataFrame([(1, 9, "semantic", 0.5000004), (1, 3, "semantic", 0.5000001)], "source long, target long, kind string, weight double")
     monkeypatch.setattr(graph, "candidates", lambda *_: rows)
     assert sorted((r["place"], r["target"]) for r in queries.QUERIES["edges_budgeted_all"](spark, sf).collect()) == [(1, 3), (2, 9)]
+
+
+def test_entity_edges_by_lists(spark, monkeypatch):
+    """Pairs are made after the shuffle, in as many places as there are links: no exchange by (source, target)."""
+    rng = random.Random(4)
+    links = sorted({(rng.randrange(60), rng.randrange(25)) for _ in range(300)})
+    counts = Counter(e for _, e in links)
+    many = {e: n + e % 3 for e, n in counts.items()}
+    want: dict = {}
+    for a, e in links:
+        for b, f in links:
+            if a < b and e == f and many[e] <= 12:
+                want.setdefault((a, b), []).append(min(0.95, 1 / np.log2(many[e] + 2) + 0.3))
+    frames = spark.createDataFrame(links, "memory long, entity long"), spark.createDataFrame(list(many.items()), "entity long, mentions long")
+    monkeypatch.setattr(graph, "LINKS", 20)
+    found = graph.entity_edges(*frames, most=12)
+    assert {(r["source"], r["target"]): (round(r["weight"], 9), r["shared"]) for r in found.collect()} == {k: (round(max(v), 9), len(v)) for k, v in want.items()}
+    assert "hashpartitioning(source" in (plan := found._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(source#\d+L?, target", plan)
