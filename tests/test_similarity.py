@@ -153,3 +153,13 @@ def test_entity_edges_by_lists(spark, monkeypatch):
     found = graph.entity_edges(*frames, most=12)
     assert {(r["source"], r["target"]): (round(r["weight"], 9), r["shared"]) for r in found.collect()} == {k: (round(max(v), 9), len(v)) for k, v in want.items()}
     assert "hashpartitioning(source" in (plan := found._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(source#\d+L?, target", plan)
+
+
+def test_label_propagation_deals_edges_once(spark):
+    """Broadcast labels and joined ones agree, and with the former the edges are shuffled once for all rounds."""
+    rng = random.Random(8)
+    rows = sorted({(a, b, "x", rng.randrange(1, 9) / 8) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(220)) if a < b})
+    edges = spark.createDataFrame(rows, "source long, target long, kind string, weight double")
+    one, other = graph.label_propagation(edges), graph.label_propagation(edges, broadcast_nodes=0)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    assert not re.search(r"hashpartitioning\(other|hashpartitioning\(node#\d+L, community", one._jdf.queryExecution().executedPlan().toString())
