@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -96,25 +97,55 @@ def batched(texts: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash, bigram, n: the words and bigrams of training rows, counted over some millions of characters at a time."""
+def packed(hashes: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Ascending hashes as the first one and steps of as few bytes as the largest needs, and counts likewise."""
+    steps = np.diff(hashes)
+    width, wide = (max(1, -(-int(x.max(initial=0)).bit_length() // 8)) for x in (steps, counts))
+    cut = lambda x, n: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+    return int(hashes[:1].view(np.int64)[0]), cut(steps, width), cut(counts, wide)
+
+
+def unpacked(first: int, steps: bytes, counts: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts that packed() was given."""
+
+    def whole(raw: bytes, n: int) -> np.ndarray:
+        found = np.zeros((n, 8), np.uint8)
+        if n:
+            found[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+        return found.view("<u8").ravel()
+
+    return np.cumsum(np.concatenate([np.array([first], np.int64).view(np.uint64), whole(steps, size - 1)])), whole(counts, size).astype(np.int64)
+
+
+PACKED = {"shard": pa.int32(), "bigram": pa.bool_(), "size": pa.int32(), "first": pa.int64(), "steps": pa.binary(), "counts": pa.binary()}
+
+
+def counted(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """The words and bigrams of training rows, counted over some millions of characters at a time: a packed row for each shard."""
     hashes = Hashes()
     for rows in batched(((t,) for b in batches for t in b.column(0).to_pylist()), 6 * FLUSH):
         for bigram, (found, n) in enumerate(Flat(hashes, [t for (t,) in rows]).keys()):
-            for at in range(0, len(found), 1 << 16):
-                part = found[at : at + (1 << 16)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), bigram, bool)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["hash", "bigram", "n"])
+            shard = shard_of(found, shards)
+            cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
+            out = [(int(shard[a]), bool(bigram), b - a, *packed(found[a:b], n[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
+            for at in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 256], strict=True), PACKED.values(), strict=True)], names=list(PACKED))
 
 
 def built(shard: int, rows: pa.Table) -> pa.RecordBatch:
     """One shard of the model: exact word counts and the Bloom filter of its bigrams."""
-    flat, bigram, n = rows["hash"].to_numpy().view(np.uint64), rows["bigram"].to_numpy(zero_copy_only=False), rows["n"].to_numpy()
-
-    def summed(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, back = np.unique(flat[own], return_inverse=True)
-        return found, np.bincount(back, n[own], minlength=len(found)).astype(np.int64)  # exact below 2 ** 53
-
-    (words, counts), (grams, seen) = summed(~bigram), summed(bigram)
+    parts: dict[bool, list] = {False: [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], True: [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]}
+    for r in rows.to_pylist():
+        parts[r["bigram"]].append(unpacked(r["first"], r["steps"], r["counts"], r["size"]))
+
+    def summed(bigram: bool) -> tuple[np.ndarray, np.ndarray]:
+        hashes, n = (np.concatenate(x) for x in zip(*parts.pop(bigram), strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]]))
+        return hashes[new], np.add.reduceat(n[order], new) if len(new) else n
+
+    (words, counts), (grams, seen) = summed(False), summed(True)
     levels = level(np.maximum(seen, 1))
     size = max(1, -(-int(levels.sum()) * BITS_A_KEY // 64))
     bloom = np.zeros(size, np.uint64)
@@ -126,7 +157,7 @@ def built(shard: int, rows: pa.Table) -> pa.RecordBatch:
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Builds the shards of a partition, whose n-grams, each a row, are held together a shard."""
+    """Builds the shards of a partition, whose packed n-grams are held together: about SHARD_TOKENS a shard at most."""
     held: dict[int, list[pa.RecordBatch]] = {}
     for batch in batches:
         shard = batch["shard"].to_numpy()
@@ -312,9 +343,9 @@ def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: in
     rows = docs.select("doc_id", (rest == held_out).alias("held_out"), "text")
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(1, size // 6 // SHARD_TOKENS).bit_length() - 1
-    counts = rows.filter(~F.col("held_out")).select("text").mapInArrow(counted, "hash long, bigram boolean, n long").select(sharded(shards), "hash", "bigram", "n")
-    # summed where they arrive, with spilling: a word of every batch is one row for the build, however large the corpus is
-    counts = counts.repartition(-(-shards // SHARDS_PER_TASK), "shard").groupBy("shard", "hash", "bigram").agg(F.sum("n").alias("n"))
+    # a shard's n-grams travel packed, a row for each batch of texts: some seven bytes an n-gram
+    kinds = "shard int, bigram boolean, size int, first long, steps binary, counts binary"
+    counts = rows.filter(~F.col("held_out")).select("text").mapInArrow(partial(counted, shards=shards), kinds).repartition(-(-shards // SHARDS_PER_TASK), "shard")
     model = stored(counts.mapInArrow(by_shard, "shard int, tokens long, distinct long, size long, words binary, counts binary, bloom binary"), "lm-model")
     total, distinct, held = model.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "size")]).first()
     kind = docs.schema["doc_id"].dataType.simpleString()

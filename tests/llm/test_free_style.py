@@ -312,3 +312,14 @@ def test_importance_equals_brute_force(spark, sf, docs, odd):
         k = round(sum(fractions) / len(fractions) * len(texts))
         least = sorted((r["gumbel_key"] for r in rows), reverse=True)[k - 1]
         assert all(r["kept"] == (r["gumbel_key"] >= least - 1e-6) for r in rows)
+
+
+def test_ngrams_travel_packed():
+    """Counts come back as they were, in eight bytes an n-gram at most where counts are small (a row of 40 bytes each before)."""
+    rng = np.random.default_rng(3)
+    for n, most in ((1, 1), (2, 300), (1000, 70_000), (200_000, 3)):
+        hashes, counts = np.unique(rng.integers(0, 1 << 64, n, np.uint64)), rng.integers(1, most + 1, n)
+        first, steps, held = lm_scoring.packed(hashes, counts)
+        back = lm_scoring.unpacked(first, steps, held, n)
+        assert np.array_equal(back[0], hashes) and np.array_equal(back[1], counts)
+    assert len(steps) + len(held) <= 8 * n
