@@ -145,3 +145,15 @@ def test_sqlite_sessions(spark, tmp_path):
         db.executemany("INSERT INTO odd VALUES (?, ?, ?, ?)", [("word", 1, "text", 5), (None, "x", b"\xff", None), (2.0, 2.5, None, b"\xff")])
     assert [tuple(r) for r in sqlite.sqlite_table(spark, path, "odd").orderBy(F.col("x").desc_nulls_last()).select("n", "x", "free").collect()] == [(2, 2.5, "�"), (None, 1.0, "5"), (None, None, None)]
     assert sqlite.sqlite_table(spark, path, "odd").filter("n = 99").count() == 0
+
+
+def test_tokens_are_hashed_once(monkeypatch):
+    """A word of many texts is hashed once a worker, not once a text."""
+    from lorekeep.operators import documents
+
+    asked, plain = [], documents.fnv1a
+    monkeypatch.setattr(documents, "fnv1a", lambda text: asked.append(text) or plain(text))
+    documents.places.cache_clear()
+    first = documents.hash_vector("seldom words seldom")
+    assert documents.hash_vector("seldom words seldom") == first and sorted(asked) == ["seldom", "seldom#2", "words", "words#2"]
+    documents.places.cache_clear()
