@@ -23,7 +23,7 @@ SIMILAR = (4, 5)
 #: Equal minima, of 32, that two lines of a bucket need to be compared further: similar lines have 21 or more in the mean,
 #: and fewer than these in one of 10^7 pairs.
 ALIKE = 8
-#: Where a bucket is still apart, its lines are compared with so many that look most like them.
+#: Where a bucket is still apart, its lines are first compared with so many that look most like them.
 BEST = 4
 #: Lines of a bucket that one task compares with others at a time.
 BLOCK = 2048
@@ -119,14 +119,14 @@ def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.union(lone), "line-joined")
 
 
-def similar_lines(docs: DataFrame, distinct: DataFrame, exact: bool = False) -> DataFrame:
+def similar_lines(docs: DataFrame, distinct: DataFrame, exact: bool = True) -> DataFrame:
     """node, root: the components of similar distinct lines (lh, kind, minima), each of two lines or more.
 
     Lines that share a band are candidates, and only what connects is of interest. First every line is compared with
     the smallest of each of its buckets. Where a bucket still holds several components, the lines outside of the largest
-    are compared with the four that look most like them by their signatures. exact goes on to all that look alike
-    at all (8 of 32 minima), so that no link between candidates is left out; that can take time and pairs that grow with the
-    square of a group of lines that resemble each other without being similar.
+    are compared with the four that look most like them by their signatures, and where it then still does, with all that
+    look alike at all (8 of 32 minima), so that no link between candidates is left out. That last round can take time and
+    pairs that grow with the square of a group of lines that resemble each other without being similar; without exact it is left out.
     """
     keyed = distinct.select("lh", "kind", bands()).select("lh", "kind", "b.number", "b.band")
     shared = stored(keyed.groupBy("band").agg(F.min("lh").alias("first"), F.max("lh").alias("last")).filter("first <> last"), "line-buckets")
@@ -175,14 +175,14 @@ def removals(docs: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
     return out
 
 
-def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) with one line left of each group of similar lines, and n_lines and n_removed_lines.
 
     Two lines are linked if the Jaccard similarity of their sets of 5-character shingles, one at every position (a
     shorter line, filled up with zero characters, is one), is 0.8 or more (exactly verified). Of each connected component one occurrence of one line
     stays, that of the smallest doc_id (null comes last; ties: the smaller row hash, then the first place), and all
-    others go. Candidates are lines that share a band of a MinHash signature; exact compares all of them (see
-    similar_lines). Lines and shingles are told apart by 64-bit hash.
+    others go. Candidates are lines that share a band of a MinHash signature; all of them are compared, but
+    for those that are known to be connected (see similar_lines; without exact: with few of a bucket). Lines and shingles are told apart by 64-bit hash.
 
     Blank lines are never removed. Null and empty texts have no lines and stay as they are; a text that loses every
     line becomes empty. Of repeated rows (equal doc_id and text) one, whichever, keeps the lines that stay. doc_id may
