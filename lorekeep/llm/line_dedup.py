@@ -92,19 +92,28 @@ def apart(rows: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def lookalikes(left: DataFrame, signs: DataFrame, best: int | None) -> DataFrame:
-    """a, b: lines of different labels of one bucket whose signatures look alike; for each line the best few of each block, or all.
+    """a, b: lines of different labels of one bucket whose signatures look alike; for each line the best few of each block, or all
+    that can be similar (signs then have n and sketch).
 
     A bucket of many lines is cut into blocks of about BLOCK lines. The lines outside of its largest component ask, in each
     block; those of the largest one only answer, so a large group of copies that is joined already costs little. Signatures
-    take part, no texts, and what comes out is a few rows for each that asks and block, unless all are wanted.
+    take part, no texts, and what comes out is a few rows for each that asks and block, or those of all that the sizes and
+    sketches do not rule out: lines that only resemble each other are compared, but make no rows.
     """
+    signed = ["minima"] if best is not None else ["minima", "n", "sketch"]
     sizes = left.groupBy("band", "label").agg(F.count(F.lit(1)).alias("held"))
     most = sizes.groupBy("band").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.ceil(F.sum("held") / BLOCK).cast("int").alias("blocks"))
-    rows = left.join(most, "band").join(signs, ["lh", "kind"]).select("band", "lh", "label", "minima", "blocks", (F.col("label") != F.col("main")).alias("outside"))
-    answers = rows.select("band", F.pmod("lh", "blocks").cast("int").alias("block"), F.lit(0).alias("asks"), "lh", "label", "minima")
-    asks = rows.filter("outside").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "lh", "label", "minima")
+    rows = left.join(most, "band").join(signs, ["lh", "kind"]).select("band", "lh", "label", *signed, "blocks", (F.col("label") != F.col("main")).alias("outside"))
+    answers = rows.select("band", F.pmod("lh", "blocks").cast("int").alias("block"), F.lit(0).alias("asks"), "lh", "label", *signed)
+    asks = rows.filter("outside").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "lh", "label", *signed)
     dealt = answers.union(asks).repartition("band", "block").sortWithinPartitions("band", "block", "asks")
-    return dealt.mapInArrow(partial(line_signatures.partners, least=ALIKE, best=best), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(partial(line_signatures.partners, least=ALIKE, best=best, over=SIMILAR[0], under=SIMILAR[1]), "a bigint, b bigint").distinct()
+
+
+def sketches(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """lh, n, sketch of the lines of rows, from their texts."""
+    own = texts.join(rows.select("lh").distinct(), "lh", "left_semi")
+    return own.mapInArrow(line_signatures.sketched, "lh bigint, n bigint, sketch array<bigint>")
 
 
 def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -125,8 +134,9 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, exact: bool = True) -> D
     Lines that share a band are candidates, and only what connects is of interest. First every line is compared with
     the smallest of each of its buckets. Where a bucket still holds several components, the lines outside of the largest
     are compared with the four that look most like them by their signatures, and where it then still does, with all that
-    look alike at all (8 of 32 minima), so that no link between candidates is left out. That last round can take time and
-    pairs that grow with the square of a group of lines that resemble each other without being similar; without exact it is left out.
+    look alike at all (8 of 32 minima), so that no link between candidates is left out. In that last round a sketch of each
+    line's shingles rules out most pairs, without error, where signatures are compared. Its time can grow with the square of a
+    group of lines that resemble each other without being similar, its pairs do not; without exact it is left out.
     """
     keyed = distinct.select("lh", "kind", bands()).select("lh", "kind", "b.number", "b.band")
     shared = stored(keyed.groupBy("band").agg(F.min("lh").alias("first"), F.max("lh").alias("last")).filter("first <> last"), "line-buckets")
@@ -151,7 +161,10 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, exact: bool = True) -> D
     larger = rows.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 2").select("band")
     left = apart(rows.drop("first").join(larger, "band", "left_semi"), joined)
     for best in (BEST, *[None] * exact):
-        pairs = stored(lookalikes(left, signs, best).join(tried, ["a", "b"], "left_anti"), "line-pairs")
+        told = signs if best is not None else stored(signs.join(sketches(texts, left), "lh"), "line-sketches")
+        pairs = stored(lookalikes(left, told, best).join(tried, ["a", "b"], "left_anti"), "line-pairs")
+        if best is None:
+            release(told)
         joined, last, tried = joined_with(joined, pairs), left, tried.union(pairs)
         left = apart(last, joined)
         release(last)

@@ -27,6 +27,8 @@ MINIMA = 32
 SEED = 11
 #: Characters of a batch that are hashed at once; longer lines are hashed in pieces.
 PIECE = 1 << 20
+#: Bits of the sketch of a set of shingles (a power of two).
+BITS = 1024
 BASE = 0x9E3779B97F4A7C15
 ODD, CUBE = np.uint64(BASE), np.uint64(BASE**3 % (1 << 64))
 
@@ -161,6 +163,38 @@ def sized(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column("lh"), batch.column("line"), pa.array(n)], ["lh", "line", "n"])
 
 
+def odd_bits(keys: np.ndarray, shift: np.uint64, lines: int) -> np.ndarray:
+    """lines x (BITS / 64): for each line the parities of how many of its shingles fall on each bit."""
+    owner, bit = keys >> shift, (keys >> (shift - np.uint64(BITS.bit_length() - 1))) & np.uint64(BITS - 1)
+    counts = np.bincount((owner * np.uint64(BITS) + bit).astype(np.int64), minlength=lines * BITS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(lines, BITS), axis=1).view(np.int64)
+
+
+def sketched(batches: Iterator) -> Iterator:
+    """lh, line, n -> lh, n, sketch: see odd_bits."""
+    import pyarrow as pa
+
+    words = BITS // 64
+    for batch in batches:
+        lines = batch.column("line").to_pylist()
+        found = np.zeros((len(lines), words), np.int64)
+        for i, j in runs([len(x) + BITS for x in lines], PIECE):
+            found[i:j] = odd_bits(*shingle_sets(lines[i:j]), j - i)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, words, dtype=np.int32)), pa.array(found.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("lh"), batch.column("n"), lists], ["lh", "n", "sketch"])
+
+
+def may_be_similar(n_a: np.ndarray, n_b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray, over: int, under: int) -> np.ndarray:
+    """Whether sets of these sizes and sketches, pair by pair, can have a Jaccard similarity of over / under; never false where they have.
+
+    A shingle that only one of two sets has turns one bit, so the sets differ in as many shingles as the sketches in bits, or more.
+    """
+    can = under * np.minimum(n_a, n_b) >= over * np.maximum(n_a, n_b)
+    apart = np.bitwise_count((odd_a[can] ^ odd_b[can]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    can[can] = (under + over) * apart <= (under - over) * (n_a[can] + n_b[can])
+    return can
+
+
 def similar(batches: Iterator, over: int, under: int) -> Iterator:
     """a, b, line_a, line_b -> those a, b whose shingle sets have a Jaccard similarity of over / under or more."""
     import pyarrow as pa
@@ -185,43 +219,50 @@ def few_best(equal: np.ndarray, least: int, best: int) -> tuple[np.ndarray, np.n
     return rows, columns[rows, places]
 
 
-def partners(batches: Iterator, least: int, best: int | None) -> Iterator:
+def partners(batches: Iterator, least: int, best: int | None, over: int, under: int) -> Iterator:
     """Rows of buckets sorted by (band, block, asks) -> a, b: for each asking row those of its block that look most alike.
 
     A row that does not ask (asks = 0) stands for itself; the askers come after them and are compared with all of the block,
     minimum by minimum, in slices of bounded size. Only rows with another label and at least `least` equal minima count.
-    Every asker gets the best few of them, or (None) all of them. What is kept of a block is bounded by how blocks are made.
+    Every asker gets the best few of them, or (None; rows then have n and sketch) all whose sizes and sketches allow the
+    similarity over / under. What is kept of a block is bounded by how blocks are made.
     """
     import pyarrow as pa
 
-    held: dict = {"key": None, "lh": np.zeros(0, np.int64), "label": np.zeros(0, np.int64), "minima": np.zeros((0, MINIMA), np.int32)}
+    names = ("lh", "label", "minima") if best is not None else ("lh", "label", "minima", "n", "sketch")
+    held: dict = {"key": None}
 
-    def asked(lh: np.ndarray, label: np.ndarray, signs: np.ndarray) -> Iterator:
-        for i in range(0, len(lh), 256):
-            equal = np.zeros((len(lh[i : i + 256]), len(held["lh"])), np.int16)
+    def asked(own: dict) -> Iterator:
+        for i in range(0, len(own["lh"]), 256):
+            some = {name: part[i : i + 256] for name, part in own.items()}
+            equal = np.zeros((len(some["lh"]), len(held["lh"])), np.int16)
             for k in range(MINIMA):
-                equal += signs[i : i + 256, k, None] == held["minima"][None, :, k]
-            equal[label[i : i + 256, None] == held["label"][None, :]] = 0
+                equal += some["minima"][:, k, None] == held["minima"][None, :, k]
+            equal[some["label"][:, None] == held["label"][None, :]] = 0
             row, column = np.nonzero(equal >= least) if best is None else few_best(equal, least, best)
-            if len(row):
-                yield lh[i : i + 256][row], held["lh"][column]
+            for at in range(0, len(row), PIECE) if best is None else ():
+                r, c = row[at : at + PIECE], column[at : at + PIECE]
+                can = may_be_similar(some["n"][r], held["n"][c], some["sketch"][r], held["sketch"][c], over, under)
+                yield some["lh"][r[can]], held["lh"][c[can]]
+            if best is not None:
+                yield some["lh"][row], held["lh"][column]
 
     for batch in batches:
-        band, block, asks, lh, label = (batch.column(c).to_numpy() for c in ("band", "block", "asks", "lh", "label"))
+        band, block, asks = (batch.column(c).to_numpy() for c in ("band", "block", "asks"))
         if not len(band):
             continue
-        signs = batch.column("minima").flatten().to_numpy().reshape(-1, MINIMA)
+        rows = {c: batch.column(c).to_numpy() for c in names if c not in ("minima", "sketch")}
+        rows |= {c: batch.column(c).flatten().to_numpy().reshape(len(band), -1) for c in names if c in ("minima", "sketch")}
         cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
         out = []
         for i, j in zip([0, *cuts], [*cuts, len(band)], strict=True):
             key = band[i], block[i]
+            part = {c: x[i:j] for c, x in rows.items()}
             if asks[i] == 0:
-                same = held["key"] == key
-                for name, part in (("lh", lh), ("label", label), ("minima", signs)):
-                    held[name] = np.concatenate([held[name], part[i:j]]) if same else part[i:j]
+                held = {c: np.concatenate([held[c], x]) for c, x in part.items()} if held["key"] == key else part
                 held["key"] = key
             elif held["key"] == key:
-                out += asked(lh[i:j], label[i:j], signs[i:j])
+                out += [x for x in asked(part) if len(x[0])]
         if out:
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
