@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -29,6 +31,8 @@ BEST = 4
 BLOCK = 2048
 #: Rows of 8 to 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Texts that travel to a Python worker at a time.
+TEXTS = 1000
 
 
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -36,6 +40,18 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Arrow batches have so many rows at most; what is used there must be run there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def lines_of(docs: DataFrame, *more: Column) -> DataFrame:
     """place, line, lh (hash of the line) of every non-blank line, and more columns."""
     split = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -174,7 +190,8 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, exact: bool = True) -> D
 
 def removals(docs: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
     """The lines to drop, as row_key and places, and the lines that stay in their stead, likewise; both stored."""
-    distinct = stored(signed(docs), "line-signatures")
+    with arrow_batches(docs.sparkSession, TEXTS):
+        distinct = stored(signed(docs), "line-signatures")
     joined = similar_lines(docs, distinct, exact)
     alone = distinct.groupBy("lh").agg(F.sum("n").alias("n")).filter("n > 1").select("lh").join(joined.select(F.col("node").alias("lh")), "lh", "left_anti")
     affected = stored(joined.select(F.col("node").alias("lh"), "root").union(alone.select("lh", F.col("lh").alias("root"))), "line-affected")

@@ -25,8 +25,11 @@ SIGNED_CHARS = 9
 FEW, MANY = 12, 10
 MINIMA = 32
 SEED = 11
-#: Characters of a batch that are hashed at once; longer lines are hashed in pieces.
-PIECE = 1 << 20
+#: Characters of a batch that are hashed at once, so that what is made of them stays small; longer lines are hashed in
+#: pieces.
+PIECE = 1 << 18
+#: Bytes of texts that are split into lines at a time.
+SPLIT = 1 << 21
 #: Bits of the sketch of a set of shingles (a power of two).
 BITS = 1024
 BASE = 0x9E3779B97F4A7C15
@@ -66,7 +69,10 @@ def minima(lines: list[str], width: int) -> np.ndarray:
     """lines x MINIMA: the signatures of lines."""
     codes, starts = joined(lines, width)
     h = (shingles(codes, starts, width) >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(h ^ p, starts[:-1]) for p in orders()], axis=1).view(np.int32)
+    found, turned = np.empty((len(lines), MINIMA), np.uint32), np.empty_like(h)
+    for i, p in enumerate(orders()):
+        found[:, i] = np.minimum.reduceat(np.bitwise_xor(h, p, out=turned), starts[:-1])
+    return found.view(np.int32)
 
 
 def pieces(line: str, width: int) -> list[str]:
@@ -94,6 +100,9 @@ def signatures(lines: list[str], width: int) -> np.ndarray:
 
 def distinct_upto(line: str, most: int) -> int:
     """How many distinct compared shingles a line has, or more than most."""
+    ends = most + SHINGLE_CHARS
+    if len(line) >= ends and len({line[i : i + SHINGLE_CHARS] for i in range(most + 1)}) > most:
+        return most + 1
     found: set[str] = set()
     for i in range(max(1, len(line) - SHINGLE_CHARS + 1)):
         found.add(line[i : i + SHINGLE_CHARS])
@@ -107,12 +116,22 @@ def lines_in(text: str) -> list[str]:
 
 
 def signed(batches: Iterator) -> Iterator:
-    """text -> lh, n (copies in the batch), kind, minima of its distinct lines; n is 0 beside a line's second kind."""
+    """text -> lh, n (copies in a part of the batch), kind, minima of its distinct lines; n is 0 beside a line's second kind.
+
+    A batch is read in parts of some SPLIT bytes, so that no more than these are held as lines at a time.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from xxhash import xxh64_intdigest
 
-    for batch in batches:
-        copies = Counter(chain.from_iterable(lines_in(t) for t in batch.column("text").to_pylist() if t))
+    def parts() -> Iterator:
+        for batch in batches:
+            texts = batch.column("text")
+            for i, j in runs(pc.binary_length(texts).fill_null(0).to_pylist(), SPLIT):
+                yield texts.slice(i, j - i)
+
+    for part in parts():
+        copies = Counter(chain.from_iterable(lines_in(t) for t in part.to_pylist() if t))
         if not copies:
             continue
         lines, counts = list(copies), list(copies.values())
