@@ -97,24 +97,35 @@ def batched(texts: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as the lowest byte of each, then the next one of each, as many as the largest needs."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def whole(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers that planes() was given."""
+    found = np.zeros((n, 8), np.uint8)
+    if n:
+        found[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return found.view("<u8").ravel()
+
+
 def packed(hashes: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
     """Ascending hashes as the first one and steps of as few bytes as the largest needs, and counts likewise."""
-    steps = np.diff(hashes)
-    width, wide = (max(1, -(-int(x.max(initial=0)).bit_length() // 8)) for x in (steps, counts))
-    cut = lambda x, n: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
-    return int(hashes[:1].view(np.int64)[0]), cut(steps, width), cut(counts, wide)
+    return int(hashes[:1].view(np.int64)[0]), planes(np.diff(hashes)), planes(counts)
 
 
 def unpacked(first: int, steps: bytes, counts: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes and counts that packed() was given."""
+    return np.cumsum(np.concatenate([np.array([first], np.int64).view(np.uint64), whole(steps, size - 1)])), whole(counts, size).astype(np.int64)
 
-    def whole(raw: bytes, n: int) -> np.ndarray:
-        found = np.zeros((n, 8), np.uint8)
-        if n:
-            found[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
-        return found.view("<u8").ravel()
 
-    return np.cumsum(np.concatenate([np.array([first], np.int64).view(np.uint64), whole(steps, size - 1)])), whole(counts, size).astype(np.int64)
+def cut(found: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """Shard, from and to of the stretches of ascending hashes."""
+    shard = shard_of(found, shards)
+    at = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
+    return [(int(shard[a]), a, b) for a, b in zip(at, at[1:], strict=False)]
 
 
 PACKED = {"shard": pa.int32(), "bigram": pa.bool_(), "size": pa.int32(), "first": pa.int64(), "steps": pa.binary(), "counts": pa.binary()}
@@ -125,9 +136,7 @@ def counted(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
     hashes = Hashes()
     for rows in batched(((t,) for b in batches for t in b.column(0).to_pylist()), 6 * FLUSH):
         for bigram, (found, n) in enumerate(Flat(hashes, [t for (t,) in rows]).keys()):
-            shard = shard_of(found, shards)
-            cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
-            out = [(int(shard[a]), bool(bigram), b - a, *packed(found[a:b], n[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
+            out = [(shard, bool(bigram), b - a, *packed(found[a:b], n[a:b])) for shard, a, b in cut(found, shards)]
             for at in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 256], strict=True), PACKED.values(), strict=True)], names=list(PACKED))
 
@@ -163,7 +172,7 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = batch["shard"].to_numpy()
         order = np.argsort(shard, kind="stable")
         batch, shard = batch.take(pa.array(order)), shard[order]
-        for a, b in zip(cut := [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)], cut[1:], strict=False):
+        for a, b in zip(at := [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)], at[1:], strict=False):
             if a < b:
                 held.setdefault(int(shard[a]), []).append(batch.slice(a, b - a))
     for shard in sorted(held):
@@ -268,61 +277,68 @@ def with_broadcast(rows: DataFrame, model: DataFrame, sizes: list, shards: int,
 def with_shards(rows: DataFrame, model: DataFrame, shards: int, total: int, distinct: int, schema: str) -> DataFrame:
     """Scores rows (doc_id, held_out, text) by dealing their n-grams to the shards of the model; one pass, whatever its size.
 
-    Texts are read once, in batches whose distinct n-grams become rows. A shard answers the rows of its hash range
-    from its word counts and its filter, and the answers go back to their batch, which was stored meanwhile.
+    Texts are read once, in batches that are stored as numbers of their distinct words. A batch asks each shard for its
+    distinct n-grams of that hash range, packed into one row; the shard answers from its word counts and its filter with a
+    byte or two for each, and the answers, shard by shard, are in the order of the batch's n-grams.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each document, with its word hashes, and one for each distinct n-gram of the batch."""
+        """One row for each batch of documents; the words are numbered by how often they occur, so the numbers are small."""
         hashes, at = Hashes(), TaskContext.get().partitionId() << 32
         for part in batched(((b.column(0).slice(i, 1), b.column(1).slice(i, 1), t) for b in batches for i, t in enumerate(b.column(2).to_pylist())), 6 * FLUSH):
             flat = Flat(hashes, [t for *_, t in part])
-            ends = flat.starts + flat.lengths
+            found, back, n = np.unique(flat.words, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
             ids, held = (pa.concat_arrays([x[i] for x in part]) for i in (0, 1))
-            n, own = len(part), [flat.words[a:b].tobytes() for a, b in zip(flat.starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), ids, held, pa.array(own, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
-            for bigram, (found, _) in enumerate(flat.keys()):
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.nulls(n, ids.type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(found.view(np.int64)), pa.array(np.full(n, bigram, bool))], names=names)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), x) for x in (ids, held, pa.array(flat.lengths))]
+            yield pa.RecordBatch.from_arrays([pa.array([at]), *lists, pa.array([found[order].tobytes()]), pa.array([planes(np.argsort(order)[back])])], names=names)
             at += 1
 
-    def answered(key: tuple, asked: pa.Table, shard: pa.Table) -> pa.Table:
-        wanted, bigram = asked["hash"].to_numpy().view(np.uint64), asked["bigram"].to_numpy(zero_copy_only=False)
-        value = np.zeros(len(wanted), np.int64)
-        if len(shard) and len(wanted):
+    def read(lengths: pa.ListScalar, known: bytes, words: bytes) -> Flat:
+        sizes = lengths.values.to_numpy()
+        return Flat.of(np.split(np.frombuffer(known, "<u8")[whole(words, int(sizes.sum())).view(np.int64)], np.cumsum(sizes)[:-1]))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, lengths, known, words in zip(*batch.columns, strict=True):
+                for bigram, (found, _) in enumerate(read(lengths, known.as_py(), words.as_py()).keys()):
+                    out = [(shard, of.as_py(), bool(bigram), b - a, *packed(found[a:b], found[:0])[:2]) for shard, a, b in cut(found, shards)]
+                    for at in range(0, len(out), 256):
+                        yield pa.RecordBatch.from_pylist([dict(zip(asked.names, x, strict=True)) for x in out[at : at + 256]], asked)
+
+    def answered(key: tuple, questions: pa.Table, shard: pa.Table) -> pa.Table:
+        out = []
+        if len(shard):
             words, counts, bloom = (np.frombuffer(shard[c][0].as_py(), t) for c, t in (("words", "<u8"), ("counts", "<i8"), ("bloom", "<u8")))
-            value[~bigram] = looked_up(words, counts, wanted[~bigram])
-            n = int(bigram.sum())
-            value[bigram] = probed(bloom, np.zeros(n, np.int64), np.full(n, len(bloom)), wanted[bigram])
-        return asked.select(["hash", "bigram"]).append_column("value", pa.array(value))
+        for r in questions.to_pylist():
+            wanted = unpacked(r["first"], r["steps"], b"", r["size"])[0]
+            value = np.zeros(len(wanted), np.int64)
+            if len(shard):
+                value = probed(bloom, np.zeros(len(wanted), np.int64), np.full(len(wanted), len(bloom)), wanted) if r["bigram"] else looked_up(words, counts, wanted)
+            out.append({"of": r["of"], "bigram": r["bigram"], "shard": r["shard"], "size": r["size"], "answers": planes(value)})
+        return pa.Table.from_pylist(out, pa.schema({"of": pa.int64(), "bigram": pa.bool_(), "shard": pa.int32(), "size": pa.int32(), "answers": pa.binary()}))
 
     def scored(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        flat = Flat.of([np.frombuffer(x, "<u8") for x in docs["words"].to_pylist()])
-        hashes, bigram, value = answers["hash"].to_numpy().view(np.uint64), answers["bigram"].to_numpy(zero_copy_only=False), answers["value"].to_numpy()
-
-        def of(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-            order = np.argsort(hashes[own])
-            return looked_up(hashes[own][order], value[own][order], wanted)
-
-        found = sums(flat, of(~bigram, flat.words), of(bigram, flat.bigrams()), total, distinct)
-        return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), *found], names=RESULT)
-
-    names = ["batch", "doc_id", "held_out", "words", "hash", "bigram"]
-    parts = stored(rows.mapInArrow(split, f"batch long, doc_id {kind}, held_out boolean, words binary, hash long, bigram boolean"), "lm-batches")
-    asked = parts.filter("hash is not null").select(sharded(shards), F.col("batch").alias("of"), "hash", "bigram")
-    # a shard answers each n-gram once; a word of every batch goes back to them by a join, which adaptive execution may split
-    once = asked.select("shard", "hash", "bigram").distinct()
-    answers = once.groupBy("shard").cogroup(model.select("shard", "words", "counts", "bloom").groupBy("shard")).applyInArrow(answered, "hash long, bigram boolean, value long")
-    answers = asked.select("of", "hash", "bigram").join(answers, ["hash", "bigram"])
-    docs = parts.filter("words is not null").select("batch", "doc_id", "held_out", "words")
-    return docs.groupBy("batch").cogroup(answers.groupBy("of")).applyInArrow(scored, schema)
-
-
-def sharded(shards: int):
-    """The shard of column hash, from its top bits; shards is a power of two."""
-    bits = shards.bit_length() - 1
-    return (F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)).alias("shard")
+        flat = read(docs["lengths"][0], docs["distinct"][0].as_py(), docs["words"][0].as_py())
+        parts = sorted(answers.to_pylist(), key=lambda r: (r["bigram"], r["shard"]))
+
+        def of(bigram: bool, found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            value = np.concatenate([np.zeros(0, np.int64), *(whole(r["answers"], r["size"]).view(np.int64) for r in parts if r["bigram"] == bigram)])
+            if len(value) != len(found):
+                raise ValueError(f"batch {key[0]}: {len(value)} answers to {len(found)} n-grams")
+            return looked_up(found, value, wanted)
+
+        (own, _), (grams, _) = flat.keys()
+        found = sums(flat, of(False, own, flat.words), of(True, grams, flat.bigrams()), total, distinct)
+        return pa.Table.from_arrays([docs["ids"].combine_chunks().flatten(), docs["held"].combine_chunks().flatten(), *found], names=RESULT)
+
+    names = ["batch", "ids", "held", "lengths", "distinct", "words"]
+    asked = pa.schema({"shard": pa.int32(), "of": pa.int64(), "bigram": pa.bool_(), "size": pa.int32(), "first": pa.int64(), "steps": pa.binary()})
+    parts = stored(rows.mapInArrow(split, f"batch long, ids array<{kind}>, held array<boolean>, lengths array<long>, distinct binary, words binary"), "lm-batches")
+    questions = parts.select("batch", "lengths", "distinct", "words").mapInArrow(asks, "shard int, of long, bigram boolean, size int, first long, steps binary")
+    answers = questions.groupBy("shard").cogroup(model.select("shard", "words", "counts", "bloom").groupBy("shard")).applyInArrow(answered, "of long, bigram boolean, shard int, size int, answers binary")
+    return parts.groupBy("batch").cogroup(answers.groupBy("of")).applyInArrow(scored, schema)
 
 
 def score(docs: DataFrame, fold: int = 5, held_out: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
